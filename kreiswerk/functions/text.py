@@ -19,6 +19,7 @@ _UMLAUTS = (
     ("ü", "ue"), ("Ü", "ue"), ("ß", "ss"), ("ẞ", "ss"),
 )
 _HANGUL = (0xAC00, 0xD7A3)
+_NOT_ASCII = r"[^\x00-\x7F]"
 
 
 def col(c: Column | str) -> Column:
@@ -75,7 +76,10 @@ def _fold_char(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str], str]:
-    """Character tables generated from Unicode data: 1->1 and 1->0 for translate, 1->n apart."""
+    """Character tables generated from Unicode data: 1->1 and 1->0 for translate, 1->n apart.
+
+    The last value is a regex class of ranges that hold all 1->n characters.
+    """
     umlauts = {a for a, _ in _UMLAUTS}
     source, target, dropped, longer = [], [], [], {}
     for cp in [*range(0x41, 0x5B), *range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]:
@@ -94,7 +98,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
             longer[ch] = folded
     ranges: list[list[int]] = [list(_HANGUL)]
     for cp in map(ord, longer):
-        if ranges[-1] != list(_HANGUL) and 0 <= cp - ranges[-1][1] <= 8:
+        if ranges[-1] != list(_HANGUL) and 0 <= cp - ranges[-1][1] <= 256:
             ranges[-1][1] = cp
         else:
             ranges.append([cp, cp])
@@ -105,8 +109,9 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
 def fold(c: Column | str) -> Column:
     """Comparison form of a text: lower case, umlauts spelled out, accents and marks removed.
 
-    ASCII rows only pay ``lower``; other rows one ``translate``. Characters that decompose into
-    several (ligatures, fractions, Hangul) are replaced one by one in the few rows that hold any.
+    ASCII rows only pay ``lower``; other rows one ``translate``. What is still not ASCII then may
+    hold characters that decompose into several (ligatures, fractions, Hangul); they are replaced
+    one by one in the few rows where some lie in the ranges of such characters.
     """
     source, target, longer, rare = _fold_tables()
 
@@ -115,17 +120,17 @@ def fold(c: Column | str) -> Column:
             text = F.replace(text, F.lit(umlaut), F.lit(spelled))
         return let(
             F.translate(text, source, target),
-            lambda t: F.when(t.rlike(rare), _expand_rare(t, longer)).otherwise(t),
+            lambda t: F.when(t.rlike(_NOT_ASCII) & t.rlike(rare), _expand_rare(t, longer)).otherwise(t),
         )
 
-    return let(col(c), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), general(t)).otherwise(F.lower(t)))
+    return let(col(c), lambda t: F.when(t.rlike(_NOT_ASCII), general(t)).otherwise(F.lower(t)))
 
 
 def _expand_rare(text: Column, longer: dict[str, str]) -> Column:
     expansions = F.str_to_map(
         F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in longer.items())), F.lit("\u0001"), F.lit("\u0002")
     )
-    chars = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    chars = F.array_distinct(F.regexp_extract_all(text, F.lit(_NOT_ASCII), F.lit(0)))
     known = F.array_intersect(chars, F.map_keys(expansions))
     spelled = F.aggregate(known, text, lambda acc, ch: F.replace(acc, ch, F.element_at(expansions, ch)))
     syllables = F.filter(chars, lambda ch: F.ascii(ch).between(*_HANGUL))

@@ -23,7 +23,9 @@ def known_zones() -> tuple[str, ...]:
 def safe_zone(zone: Column | str) -> Column:
     """The zone id if it is a known one, else UTC."""
     zone = col(zone)
-    return F.when(zone.isin(list(known_zones())), zone).otherwise(F.lit("UTC"))
+    usual = zone.isin("Europe/Berlin", "UTC")
+    known = F.array_contains(F.split(F.lit(" ".join(known_zones())), " "), zone)
+    return F.when(usual, zone).when(known, zone).otherwise(F.lit("UTC"))
 
 
 def default_zone(zone: Column | str) -> Column:
