@@ -283,28 +283,29 @@ _ELIGIBLE = f"""(lat IS NULL OR lon IS NULL) AND coalesce(attendance_hint, '') <
 _QUERY = "concat_ws(', ', venue_address, nullif(concat_ws(' ', postal_code, city), ''), 'Deutschland')"
 
 
-def _cascade_sql(cached: bool) -> str:
+def cascade_sql(cached: bool, rows: str = "fx_raw_event", final: str | None = None) -> str:
+    """The cascade over a relation; as a named relation with all columns when ``final`` is given."""
     cache = f"""
 cache AS (SELECT query, n % 3 <> 0 AS found, 50.0 + (n % 7) AS clat, 9.0 + (n % 5) AS clon, CASE WHEN n % 2 = 0 THEN 'Address' ELSE 'Street' END AS cprecision
   FROM (SELECT query, length(query) AS n FROM (SELECT DISTINCT {fold_sql(_QUERY)} AS query FROM fx_raw_event WHERE {_ELIGIBLE}) WHERE length(query) % 2 = 0)),"""
     empty = "cache AS (SELECT '' AS query, false AS found, 0.0 AS clat, 0.0 AS clon, '' AS cprecision WHERE false),"
     return f"""
 , {_KEYS}, {cache if cached else empty} asked AS (SELECT source_event_id AS id, CASE WHEN {_ELIGIBLE} THEN {fold_sql(_QUERY)} END AS query,
-  coalesce({plz_sql('postal_code')}, {plz_sql('venue_address')}) AS plz, * FROM fx_raw_event), {_names_sql('asked', 'id', ['city', 'venue_address'])}
-SELECT a.id AS source_event_id,
+  coalesce({plz_sql('postal_code')}, {plz_sql('venue_address')}) AS plz, * FROM {rows}), {_names_sql('asked', 'id', ['city', 'venue_address'])}
+{f', {final} AS (SELECT a.* EXCLUDE (lat, lon),' if final else 'SELECT a.id AS source_event_id,'}
   CASE WHEN a.lat IS NOT NULL THEN a.city WHEN c.found THEN a.city WHEN p.plz IS NOT NULL THEN p.name ELSE b.matched_place END AS matched_place,
   CASE WHEN a.lat IS NOT NULL THEN a.lat WHEN c.found THEN c.clat WHEN p.plz IS NOT NULL THEN p.lat ELSE b.lat END AS lat,
   CASE WHEN a.lat IS NOT NULL THEN a.lon WHEN c.found THEN c.clon WHEN p.plz IS NOT NULL THEN p.lon ELSE b.lon END AS lon,
   CASE WHEN a.lat IS NOT NULL OR c.found OR p.plz IS NOT NULL OR b.id IS NOT NULL THEN 'Resolved' ELSE 'Unresolved' END AS location_status,
   CASE WHEN a.lat IS NOT NULL THEN 'Address' WHEN c.found THEN c.cprecision WHEN p.plz IS NOT NULL OR b.id IS NOT NULL THEN 'City' ELSE 'None' END AS location_precision
 FROM asked a LEFT JOIN cache c USING (query) LEFT JOIN fx_place p ON p.plz = a.plz LEFT JOIN best b ON b.id = a.id
-"""
+{')' if final else ''}"""
 
 
 _PLACED = ["source_event_id", "matched_place", "lat", "lon", "location_status", "location_precision"]
 
 
-@query(_cascade_sql(cached=False), "fx_place fx_raw_event")
+@query(cascade_sql(cached=False), "fx_place fx_raw_event")
 def geo_cascade(spark: SparkSession, sf: str) -> DataFrame:
     raw = view(spark, sf, "fx_raw_event")
     return resolve_locations(raw, place_keys(places(spark, sf)), postal_lookup(postal(spark, sf))).select(*_PLACED)
@@ -323,7 +324,7 @@ def _cache(raw: DataFrame) -> DataFrame:
     )
 
 
-@query(_cascade_sql(cached=True), "fx_place fx_raw_event")
+@query(cascade_sql(cached=True), "fx_place fx_raw_event")
 def geo_cascade_cached(spark: SparkSession, sf: str) -> DataFrame:
     raw = view(spark, sf, "fx_raw_event")
     keys, codes = place_keys(places(spark, sf)), postal_lookup(postal(spark, sf))

@@ -23,7 +23,7 @@ def _collapse_sql(c: str) -> str:
     return f"trim(regexp_replace({c}, '{_SPACE}', ' ', 'g'))"
 
 
-def _clean_sql(c: str) -> str:
+def clean_sql(c: str) -> str:
     c = _collapse_sql(c)
     return f"case when starts_with(lower({c}), 'join us for') then {_collapse_sql(f'regexp_replace(substr({c}, 12), $$^[: -]+$$, $$$$)')} else {c} end"
 
@@ -47,7 +47,7 @@ def collapse_whitespace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"SELECT source_event_id, {_clean_sql('title')} AS title, coalesce({_clean_sql('description')}, '') AS description FROM fx_raw_event",
+    f"SELECT source_event_id, {clean_sql('title')} AS title, coalesce({clean_sql('description')}, '') AS description FROM fx_raw_event",
     "fx_raw_event",
 )
 def clean_texts(spark: SparkSession, sf: str) -> DataFrame:
