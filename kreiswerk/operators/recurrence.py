@@ -14,7 +14,8 @@ from ..functions.times import safe_zone
 
 _PARTS = r"(?:FREQ|INTERVAL|COUNT|UNTIL|WKST|BYDAY|BYMONTHDAY|BYMONTH)"
 _DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
-_EPOCH_MONDAY = "1970-01-05"
+_FAR = 10_000_000
+_NO_DAYS = lambda: F.array().cast("array<date>")
 
 
 def rule_problem(rule: Column | str) -> Column:
@@ -63,78 +64,116 @@ def _list(rule: Column, name: str) -> Column:
 
 
 def _expand(start: Column, rule: Column, zone: Column, until: Column) -> Column:
-    """Days from the start on that the rule selects, at the start's time of day."""
+    """Days the rule selects from the start on, at the start's time of day."""
     facts = F.struct(
         F.to_date(start).alias("day"),
         _part(rule, "FREQ").alias("freq"),
-        F.coalesce(_part(rule, "INTERVAL").try_cast("int"), F.lit(1)).alias("interval"),
+        F.greatest(F.coalesce(_part(rule, "INTERVAL").try_cast("int"), F.lit(1)), F.lit(1)).alias("interval"),
         _part(rule, "COUNT").try_cast("int").alias("count"),
         _until_wall(rule, start, zone).alias("until"),
         _list(rule, "BYDAY").alias("by_day"),
-        F.transform(_list(rule, "BYMONTHDAY"), lambda d: d.try_cast("int")).alias("by_month_day"),
-        F.transform(_list(rule, "BYMONTH"), lambda m: m.try_cast("int")).alias("by_month"),
-        F.coalesce(F.array_position(_strings(_DAYS), _part(rule, "WKST")), F.lit(1)).alias("week_start"),
+        _numbers(rule, "BYMONTHDAY").alias("by_month_day"),
+        _numbers(rule, "BYMONTH").alias("by_month"),
+        F.coalesce(F.array_position(_strings(_DAYS), _part(rule, "WKST")) - 1, F.lit(0)).cast("int").alias("week_start"),
     )
 
     def expand(r: Column) -> Column:
-        last = F.least(F.coalesce(F.to_date(r["until"]), F.date_add(until, 1)), F.date_add(until, 1))
-        days = F.when(last >= r["day"], F.sequence(r["day"], last)).otherwise(F.array().cast("array<date>"))
-        chosen = F.filter(days, lambda d: _selected(d, r))
+        horizon = F.date_add(until, 1)
+        last = F.least(F.coalesce(F.to_date(r["until"]), horizon), horizon)
+        days = F.when(last >= r["day"], _days(r, last)).otherwise(_NO_DAYS())
+        chosen = F.filter(days, lambda d: (d >= r["day"]) & (d <= last) & _listed(r["by_month"], F.month(d)))
         time_of_day = start - F.date_trunc("day", start)
-        walls = F.transform(chosen, lambda d: (d.cast("timestamp_ntz") + time_of_day).cast("timestamp_ntz"))
+        walls = F.transform(
+            F.array_sort(F.array_distinct(chosen)), lambda d: (d.cast("timestamp_ntz") + time_of_day).cast("timestamp_ntz")
+        )
         within = F.filter(walls, lambda w: r["until"].isNull() | (w <= r["until"]))
         return F.when(r["count"].isNull(), within).otherwise(F.slice(within, 1, F.greatest(r["count"], F.lit(0))))
 
     return let(facts, expand)
 
 
-def _selected(day: Column, r: Column) -> Column:
-    first, freq, interval = r["day"], r["freq"], r["interval"]
-    two = F.element_at(_strings(_DAYS), F.weekday(day) + 1)
-    ordinal = F.floor((F.dayofmonth(day) - 1) / 7).cast("int") + 1
-    from_end = -(F.floor((F.dayofmonth(F.last_day(day)) - F.dayofmonth(day)) / 7).cast("int") + 1)
-    day_from_end = F.dayofmonth(day) - F.dayofmonth(F.last_day(day)) - 1
-    same = lambda name: F.array_contains(r["by_day"], name)
-    on_weekday = same(two)
-    on_ordinal = (
-        on_weekday
-        | same(F.concat(ordinal.cast("string"), two))
-        | same(F.concat(F.lit("+"), ordinal.cast("string"), two))
-        | same(F.concat(from_end.cast("string"), two))
-    )
-    in_list = F.array_contains(r["by_month_day"], F.dayofmonth(day)) | F.array_contains(r["by_month_day"], day_from_end)
-    has_days, has_month_days, has_months = (F.size(r[n]) > 0 for n in ("by_day", "by_month_day", "by_month"))
-    in_month = ~has_months | F.array_contains(r["by_month"], F.month(day))
-    week = lambda d: F.floor((F.datediff(d, F.lit(_EPOCH_MONDAY).cast("date")) - (r["week_start"] - 1)) / 7)
-    months = lambda d: F.year(d) * 12 + F.month(d)
-    limits = (~has_days | on_weekday) & (~has_month_days | in_list)
-
-    return (
-        F.when(freq == "DAILY", (F.datediff(day, first) % interval == 0) & limits & in_month)
-        .when(
-            freq == "WEEKLY",
-            ((week(day) - week(first)) % interval == 0)
-            & F.when(has_days, on_weekday).otherwise(F.weekday(day) == F.weekday(first))
-            & in_month,
+def _days(r: Column, last: Column) -> Column:
+    """Candidate days of a rule, stepping by its interval; later filters cut them to the range."""
+    first, interval = r["day"], r["interval"]
+    unlisted = (F.size(r["by_day"]) == 0) & (F.size(r["by_month_day"]) == 0) & (F.size(r["by_month"]) == 0)
+    steps = lambda unit: F.when(unlisted & r["count"].isNotNull(), unit * interval * r["count"])
+
+    def daily() -> Column:
+        span = F.least(F.datediff(last, first), F.coalesce(steps(1), F.lit(_FAR)))
+        days = F.transform(F.sequence(F.lit(0), span, interval), lambda i: F.date_add(first, i))
+        return F.filter(days, lambda d: _on_weekday(r, d) & _on_month_day(r, d))
+
+    def weekly() -> Column:
+        in_week = lambda weekday: F.pmod(weekday - r["week_start"], F.lit(7)).cast("int")
+        begin = F.date_sub(first, in_week(F.weekday(first)))
+        named = F.transform(r["by_day"], lambda name: in_week(F.array_position(_strings(_DAYS), name) - 1))
+        offsets = F.when(F.size(r["by_day"]) > 0, named).otherwise(F.array(in_week(F.weekday(first))))
+        span = F.least(F.datediff(last, begin), F.coalesce(steps(7), F.lit(_FAR)))
+        weeks = F.sequence(F.lit(0), span, interval * 7)
+        return F.flatten(F.transform(weeks, lambda w: F.transform(offsets, lambda o: F.date_add(begin, w + o))))
+
+    def monthly() -> Column:
+        begin = F.trunc(first, "month")
+        span = (F.year(last) - F.year(begin)) * 12 + F.month(last) - F.month(begin)
+        months = F.transform(F.sequence(F.lit(0), span, interval), lambda i: F.add_months(begin, i))
+        listed = (F.size(r["by_day"]) > 0) | (F.size(r["by_month_day"]) > 0)
+        every = lambda m: F.filter(
+            F.sequence(m, F.last_day(m)), lambda d: _on_ordinal(r, d) & _on_month_day(r, d)
         )
-        .when(
-            freq == "MONTHLY",
-            ((months(day) - months(first)) % interval == 0)
-            & F.when(
-                has_days | has_month_days, (~has_days | on_ordinal) & (~has_month_days | in_list)
-            ).otherwise(F.dayofmonth(day) == F.dayofmonth(first))
-            & in_month,
-        )
-        .otherwise(
-            ((F.year(day) - F.year(first)) % interval == 0)
-            & F.when(has_months, F.array_contains(r["by_month"], F.month(day))).otherwise(
-                (F.month(day) == F.month(first))
-            )
-            & F.when(has_month_days, in_list).otherwise(F.dayofmonth(day) == F.dayofmonth(first))
+        return F.flatten(F.transform(months, lambda m: F.when(listed, every(m)).otherwise(_month_days(m, F.array(F.dayofmonth(first))))))
+
+    def yearly() -> Column:
+        begin = F.trunc(first, "year")
+        years = F.sequence(F.lit(0), F.year(last) - F.year(begin), interval)
+        months = F.when(F.size(r["by_month"]) > 0, r["by_month"]).otherwise(F.array(F.month(first)))
+        numbers = F.when(F.size(r["by_month_day"]) > 0, r["by_month_day"]).otherwise(F.array(F.dayofmonth(first)))
+        in_year = lambda y: F.flatten(
+            F.transform(months, lambda m: _month_days(F.add_months(begin, y * 12 + m - 1), numbers))
         )
+        return F.flatten(F.transform(years, in_year))
+
+    return (
+        F.when(r["freq"] == "DAILY", daily())
+        .when(r["freq"] == "WEEKLY", weekly())
+        .when(r["freq"] == "MONTHLY", monthly())
+        .otherwise(yearly())
     )
 
 
+def _month_days(month: Column, numbers: Column) -> Column:
+    """Days of a month by number; negative ones count from its end, missing ones are left out."""
+    length = F.dayofmonth(F.last_day(month))
+    positive = F.transform(numbers, lambda n: F.when(n < 0, length + n + 1).otherwise(n))
+    return F.transform(F.filter(positive, lambda n: n.between(1, length)), lambda n: F.date_add(month, n - 1))
+
+
+def _on_weekday(r: Column, day: Column) -> Column:
+    return _listed(r["by_day"], F.element_at(_strings(_DAYS), F.weekday(day) + 1))
+
+
+def _on_month_day(r: Column, day: Column) -> Column:
+    from_end = F.dayofmonth(day) - F.dayofmonth(F.last_day(day)) - 1
+    return _listed(r["by_month_day"], F.dayofmonth(day)) | _listed(r["by_month_day"], from_end)
+
+
+def _on_ordinal(r: Column, day: Column) -> Column:
+    """Weekday by name, or by name with its place in the month counted from either end."""
+    name = F.element_at(_strings(_DAYS), F.weekday(day) + 1)
+    nth = F.floor((F.dayofmonth(day) - 1) / 7).cast("int") + 1
+    from_end = F.floor((F.dayofmonth(F.last_day(day)) - F.dayofmonth(day)) / 7).cast("int") + 1
+    forms = [name] + [F.concat(F.lit(sign), n.cast("string"), name) for sign, n in (("", nth), ("+", nth), ("-", from_end))]
+    return (F.size(r["by_day"]) == 0) | F.arrays_overlap(r["by_day"], F.array(*forms))
+
+
+def _listed(values: Column, value: Column) -> Column:
+    """Whether a list is empty or holds the value."""
+    return (F.size(values) == 0) | F.array_contains(values, value)
+
+
+def _numbers(rule: Column, name: str) -> Column:
+    return F.array_compact(F.transform(_list(rule, name), lambda n: n.try_cast("int")))
+
+
 def _until_wall(rule: Column, start: Column, zone: Column) -> Column:
     """UNTIL in the wall clock of the entry; a plain date includes its whole day."""
     value = _part(rule, "UNTIL")

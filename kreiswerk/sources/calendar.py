@@ -13,6 +13,9 @@ from ..functions.urls import occurrence_id
 from ..operators.recurrence import occurrence_starts, rule_problem
 
 _STAMP = r"^([0-9]{8})(?:T([0-9]{6})(Z)?)?"
+_LINE = r'(?s)^[A-Za-z0-9-]+((?:;(?:"[^"]*"|[^":])*)?):(.*)$'
+_PROPERTIES = ("UID", "SUMMARY", "DESCRIPTION", "LOCATION", "URL", "GEO", "DTSTART", "DTEND", "DURATION", "RRULE")
+_REPEATED = ("RDATE", "EXDATE")
 
 
 def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +36,8 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = (
         unfolded.filter(calendar)
         .select("source_id", "feed_url", F.posexplode(blocks).alias("feed_pos", "block"))
-        .select("source_id", "feed_url", "feed_pos", block.alias("block"))
+        .select("source_id", "feed_url", "feed_pos", F.split(block, "\n").alias("lines"))
+        .select("source_id", "feed_url", "feed_pos", *[_find(name).alias(name) for name in _PROPERTIES], *_all_lines())
     )
     start, end = _stamp("DTSTART"), _stamp("DTEND")
     parsed = entries.select(
@@ -120,9 +124,18 @@ def extract_calendar_events(
 # --- properties of one entry -----------------------------------------------------------------
 
 
+def _find(name: str) -> Column:
+    """First line of a property, null when the entry has none."""
+    return F.get(F.filter("lines", lambda line: line.rlike(f"^(?i){name}[;:]")), F.lit(0))
+
+
+def _all_lines() -> list[Column]:
+    """All lines of the properties that may repeat."""
+    return [F.filter("lines", lambda line: line.rlike(f"^(?i){name}[;:]")).alias(name) for name in _REPEATED]  # noqa: B023
+
+
 def _line(name: str, group: int) -> Column:
-    pattern = rf'(?dim)^{name}((?:;(?:"[^"]*"|[^":\n])*)?):(.*)$'
-    return F.regexp_extract("block", pattern, group)
+    return F.regexp_extract(name, _LINE, group)
 
 
 def _value(name: str) -> Column:
@@ -131,12 +144,15 @@ def _value(name: str) -> Column:
 
 def _text(name: str) -> Column:
     """Text value with its escapes resolved."""
-    plain = F.transform(
-        F.split(_line(name, 2), r"\\\\"),
-        lambda part: F.regexp_replace(F.regexp_replace(part, r"\\[nN]", "\n"), r"\\([,;:\"])", "$1"),
-    )
-    present = F.col("block").rlike(rf"(?dim)^{name}[;:]")
-    return F.when(present, F.array_join(plain, "\\"))
+
+    def unescaped(value: Column) -> Column:
+        plain = F.transform(
+            F.split(value, r"\\\\"),
+            lambda part: F.regexp_replace(F.regexp_replace(part, r"\\[nN]", "\n"), r"\\([,;:\"])", "$1"),
+        )
+        return F.when(value.contains("\\"), F.array_join(plain, "\\")).otherwise(value)
+
+    return let(_line(name, 2), unescaped)
 
 
 def _stamp(name: str) -> Column:
@@ -162,8 +178,7 @@ def _wall(value: Column) -> Column:
 
 def _stamps(name: str) -> Column:
     """Wall-clock times of all lines of a list property."""
-    lines = F.regexp_extract_all("block", F.lit(rf"(?dim)^{name}(?:;[^:\n]*)?:(.*)$"), F.lit(1))
-    values = F.flatten(F.transform(lines, lambda line: F.split(line, ",")))
+    values = F.flatten(F.transform(name, lambda line: F.split(F.regexp_extract(line, _LINE, 2), ",")))
     return F.array_compact(F.transform(values, _wall))
 
 
