@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.variants import strict_string
 from ..sources.pages import entity_map, state_script
 from ..sources.sitemap import chapter_slug
+from .rows import computed
 
 
 # --- chapters ------------------------------------------------------------------------------
@@ -53,7 +54,8 @@ def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: in
     entity, link = F.col("entity"), F.rtrim(F.col("link"), F.lit("/"))
     text = lambda path: F.coalesce(strict_string(entity, path), F.lit(""))
     searched = (
-        find_pages.select("page_no", "route", F.posexplode(entity_map(state_script(F.col("body")))).alias("pos", "key", "entity"))
+        computed(find_pages, "page_no", "route", entity_map(state_script(F.col("body"))).alias("state"))
+        .select("page_no", "route", F.posexplode("state").alias("pos", "key", "entity"))
         .filter(F.col("key").startswith("Group:"))
         .select("page_no", "pos", "route", text("$.link").alias("link"), text("$.name").alias("name"), text("$.city").alias("city"))
         .filter("link <> ''")
@@ -65,8 +67,8 @@ def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: in
         *[F.coalesce(F.try_variant_get(F.col("root"), f"$.props.pageProps.{n}", "array<variant>"), none) for n in _LISTS]
     )
     featured = (
-        city_pages.select("page_no", "city", root.alias("root"))
-        .select("page_no", "city", F.posexplode(listed).alias("pos", "entity"))
+        computed(computed(city_pages, "page_no", "city", root.alias("root")), "page_no", "city", listed.alias("listed"))
+        .select("page_no", "city", F.posexplode("listed").alias("pos", "entity"))
         .select("page_no", "city", "pos", F.regexp_extract(text("$.eventUrl"), _GROUP_OF_EVENT, 1).alias("slug"))
         .filter("slug <> ''")
         .select(
@@ -93,13 +95,13 @@ def group_report(
     Events later than ``after`` (ISO text) count, in page order. A page without an entity map
     counts as a reachable group without events. Everything about a page is computed inside its row.
     """
-    state = pages.select("slug", entity_map(state_script(F.col("body"))).alias("state"))
+    state = computed(pages, "slug", entity_map(state_script(F.col("body"))).alias("state"))
     entities = F.coalesce(F.map_entries("state"), F.array().cast("array<struct<key:string,value:variant>>"))
     upcoming = F.filter(
         entities,
         lambda e: e["key"].startswith("Event:") & F.coalesce(strict_string(e["value"], "$.dateTime") > after, F.lit(False)),
     )
-    profile = state.select("slug", "state", upcoming.alias("upcoming"))
+    profile = computed(state, "slug", "state", upcoming.alias("upcoming"))
     on_site = F.filter(
         "upcoming", lambda e: F.coalesce(strict_string(e["value"], "$.eventType").isin("PHYSICAL", "HYBRID"), F.lit(False))
     )

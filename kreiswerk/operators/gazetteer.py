@@ -12,6 +12,7 @@ from ..functions.address import state_code
 from ..functions.fixed_values import MAX_ALIASES, MIN_ALIAS_LENGTH
 from ..functions.text import fold, fold_constant, let, tokenize
 from .joins import lookup_join, salted_join
+from .rows import computed
 
 
 # --- lookup tables -------------------------------------------------------------------------
@@ -68,7 +69,7 @@ def match_names(texts: DataFrame, keys: DataFrame, columns: Sequence[str], carry
     row = [*columns, *carry]
     limited = texts.select(*row, longest_key_words(keys).scalar().alias("_limit"))
     runs = F.concat(*[_word_runs(F.col(c), prio, F.col("_limit")) for prio, c in enumerate(columns)])
-    phrases = limited.select(*row, F.explode(runs).alias("run")).select(
+    phrases = computed(limited, *row, runs.alias("runs")).select(*row, F.explode("runs").alias("run")).select(
         *row, "run.phrase", F.struct("run.prio", "run.neg_words", "run.start").alias("rank")
     )
     found = lookup_join(phrases, keys, ["phrase"], "inner", spread_by=[*row, "rank"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import address, tags, text, times, urls
 from ..functions.fixed_values import KEYWORD_TO_TAG
 from ..operators.gazetteer import related_names
+from ..operators.rows import computed
 from .catalog import (
     bounded_sql, fold_sql, joined, local_day_sql, plz_sql, query, time_sql, time_text, tokens_sql,
 )
@@ -66,8 +67,8 @@ SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS documents
 FROM (SELECT doc_id, unnest({tokens_sql(fold_sql('text'))}) AS token FROM documents) GROUP BY token""")
 def token_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     per_document = (
-        table(spark, sf, "documents")
-        .select("doc_id", F.explode(text.tokenize(text.fold("text"))).alias("token"))
+        computed(table(spark, sf, "documents"), "doc_id", text.tokenize(text.fold("text")).alias("tokens"))
+        .select("doc_id", F.explode("tokens").alias("token"))
         .groupBy("token", "doc_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -90,7 +91,7 @@ SELECT role, tag, count(*) AS turns FROM (
 WHERE tag <> '' GROUP BY role, tag""")
 def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
     found = tags.extract_tags(F.lit(""), "text", OWN_KEYWORDS)
-    rows = table(spark, sf, "conversations").select("role", F.explode(found).alias("tag"))
+    rows = computed(table(spark, sf, "conversations"), "role", found.alias("tags")).select("role", F.explode("tags").alias("tag"))
     return rows.groupBy("role", "tag").agg(F.count(F.lit(1)).alias("turns"))
 
 

@@ -11,6 +11,7 @@ from ..functions.text import let
 from ..functions.times import instant, safe_zone
 from ..functions.urls import occurrence_id
 from ..operators.recurrence import occurrence_starts, rule_problem
+from ..operators.rows import computed
 
 _STAMP = r"^([0-9]{8})(?:T([0-9]{6})(Z)?)?"
 _LINE = r'(?s)^[A-Za-z0-9-]+((?:;(?:"[^"]*"|[^":])*)?):(.*)$'
@@ -31,16 +32,18 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         "source_id", F.col("feed_url").alias("url"), F.lit("feed is empty or not a calendar").alias("error")
     )
 
-    blocks = F.regexp_extract_all("text", F.lit(r"(?is)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
+    found = F.regexp_extract_all("text", F.lit(r"(?is)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
+    blocks = F.when(F.col("text").rlike(r"(?i)BEGIN:VCALENDAR"), found)
     block = F.regexp_replace(F.col("block"), r"(?is)BEGIN:(VALARM|X-[A-Z0-9-]+)\n.*?END:\1", "")
     entries = (
-        unfolded.filter(calendar)
-        .select("source_id", "feed_url", F.posexplode(blocks).alias("feed_pos", "block"))
+        computed(unfolded, "source_id", "feed_url", blocks.alias("blocks"))
+        .select("source_id", "feed_url", F.posexplode("blocks").alias("feed_pos", "block"))
         .select("source_id", "feed_url", "feed_pos", F.split(block, "\n").alias("lines"))
-        .select("source_id", "feed_url", "feed_pos", *[_find(name).alias(name) for name in _PROPERTIES], *_all_lines())
+        .withColumn("names", F.transform("lines", _property_name))
+        .select("source_id", "feed_url", "feed_pos", *map(_first_line, _PROPERTIES), *map(_all_lines, _REPEATED))
     )
     start, end = _stamp("DTSTART"), _stamp("DTEND")
-    parsed = entries.select(
+    columns = [
         "source_id",
         "feed_url",
         F.col("feed_pos").cast("bigint").alias("feed_pos"),
@@ -60,8 +63,8 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.upper(_value("RRULE")).alias("rule"),
         _stamps("RDATE").alias("extra"),
         _stamps("EXDATE").alias("excluded"),
-    )
-    return parsed.filter("uid is not null and start_wall is not null"), errors
+    ]
+    return computed(entries, *columns).filter("uid is not null and start_wall is not null"), errors
 
 
 def extract_calendar_events(
@@ -80,8 +83,7 @@ def extract_calendar_events(
         F.concat(F.lit("entry "), "uid", F.lit(": "), "problem").alias("error"),
     )
     until = F.add_months(instant(now).cast("date"), months)
-    supported = entries.filter(problem.isNull())
-    starts = F.explode(occurrence_starts("start_wall", "rule", "zone", "extra", "excluded", until))
+    starts = F.when(problem.isNull(), occurrence_starts("start_wall", "rule", "zone", "extra", "excluded", until))
     zone, end_zone = safe_zone("zone"), safe_zone("end_zone")
     first_start, first_end = _to_instant("start_wall", zone), _to_instant("end_wall", end_zone)
     length = (
@@ -91,8 +93,8 @@ def extract_calendar_events(
         .otherwise(F.lit(0))
     )
     occurrences = (
-        supported.withColumn("length", length)
-        .withColumn("occurrence", starts)
+        computed(entries, "*", length.alias("length"), starts.alias("starts"))
+        .withColumn("occurrence", F.explode("starts"))
         .withColumn("start_utc", _to_instant("occurrence", zone))
         .withColumn("end_utc", F.timestamp_micros(F.unix_micros("start_utc") + F.col("length")))
     )
@@ -124,14 +126,20 @@ def extract_calendar_events(
 # --- properties of one entry -----------------------------------------------------------------
 
 
-def _find(name: str) -> Column:
+def _property_name(line: Column) -> Column:
+    return F.upper(F.substring_index(F.substring_index(line, ":", 1), ";", 1))
+
+
+def _first_line(name: str) -> Column:
     """First line of a property, null when the entry has none."""
-    return F.get(F.filter("lines", lambda line: line.rlike(f"^(?i){name}[;:]")), F.lit(0))
+    at = F.nullif(F.array_position("names", name), F.lit(0)) - 1
+    return F.get("lines", at.cast("int")).alias(name)
 
 
-def _all_lines() -> list[Column]:
-    """All lines of the properties that may repeat."""
-    return [F.filter("lines", lambda line: line.rlike(f"^(?i){name}[;:]")).alias(name) for name in _REPEATED]  # noqa: B023
+def _all_lines(name: str) -> Column:
+    """All lines of a property that may repeat."""
+    found = F.filter("lines", lambda line: _property_name(line) == name)
+    return F.when(F.array_contains("names", name), found).otherwise(F.array().cast("array<string>")).alias(name)
 
 
 def _line(name: str, group: int) -> Column:

@@ -10,6 +10,7 @@ from ..functions.text import blank_to_null, let
 from ..functions.times import parse_instant
 from ..functions.urls import path_tail
 from ..functions.variants import has_field, is_array, is_object, strict_string
+from ..operators.rows import computed
 
 # Comments are matched as well, so that a script tag quoted inside one is passed over.
 _SCRIPTS = r"(?is)<!--.*?-->|<script\b([^>]*)>(.*?)</script\s*>"
@@ -59,8 +60,8 @@ def extract_state_events(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     script, unreadable JSON or no entity map. A page whose map holds no event is a success without
     rows. Venues are looked up in the map of the same page, so nothing is shuffled.
     """
-    script = state_script(F.col("body"))
-    state = pages.select("source_id", "url", script.alias("script")).withColumn("state", entity_map(F.col("script")))
+    scripts = computed(pages, "source_id", "url", state_script(F.col("body")).alias("script"))
+    state = computed(scripts, "source_id", "url", "script", entity_map(F.col("script")).alias("state"))
     message = (
         F.when(F.col("script").isNull(), F.lit("no __NEXT_DATA__ script found"))
         .when(F.try_parse_json("script").isNull(), F.lit("__NEXT_DATA__ is not valid JSON"))
@@ -80,7 +81,7 @@ def extract_state_events(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "item",
         F.try_element_at("state", strict_string(item, "$.venue.__ref")).alias("venue"),
     )
-    events = found.select(
+    columns = [
         "source_id",
         F.substring("key", len(_KEY) + 1, 2**31 - 1).alias("source_event_id"),
         F.coalesce(strict_string(item, "$.title"), F.lit("")).alias("title"),
@@ -98,8 +99,8 @@ def extract_state_events(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(strict_string(item, "$.eventUrl"), "page_url").alias("url"),
         F.col("feed_pos").cast("bigint").alias("feed_pos"),
         "page_url",
-    )
-    return events.filter("start_utc is not null"), errors
+    ]
+    return computed(found, *columns).filter("start_utc is not null"), errors
 
 
 # --- JSON-LD -------------------------------------------------------------------------------
@@ -116,13 +117,12 @@ def extract_jsonld_events(pages: DataFrame, zone: str = "Europe/Berlin") -> Data
         F.col("body").contains("ld+json"), first_script(F.col("body"), _TYPE.format(r"application/ld\+json"))
     )
     root, spot = F.col("root"), F.col("spot")
-    parsed = pages.select("source_id", "url", F.try_parse_json(script).alias("root")).select(
-        "source_id", "url", "root", _place(root).alias("spot")
-    )
+    roots = computed(pages, "source_id", "url", F.try_parse_json(script).alias("root"))
+    parsed = computed(roots.filter("root is not null"), "source_id", "url", "root", _place(root).alias("spot"))
     street, locality, plz = (
         strict_string(spot, f"$.address.{name}") for name in ("streetAddress", "addressLocality", "postalCode")
     )
-    events = parsed.select(
+    columns = [
         "source_id",
         path_tail("url").alias("source_event_id"),
         blank_to_null(strict_string(root, "$.name")).alias("title"),
@@ -140,8 +140,8 @@ def extract_jsonld_events(pages: DataFrame, zone: str = "Europe/Berlin") -> Data
         "url",
         F.lit(0).cast("bigint").alias("feed_pos"),
         F.col("url").alias("page_url"),
-    )
-    return events.filter("title is not null and start_utc is not null")
+    ]
+    return computed(parsed, *columns).filter("title is not null and start_utc is not null")
 
 
 def _place(root: Column) -> Column:

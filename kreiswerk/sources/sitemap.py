@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..operators.joins import lookup_join
+from ..operators.rows import computed
 
 _SCHEMA = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, broken string"
 _OPTIONS = {"columnNameOfCorruptRecord": "broken", "mode": "PERMISSIVE"}
@@ -22,15 +23,13 @@ def sitemap_locs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``documents`` has ``source_id, url, body``. Returns ``source_id, sitemap_url, loc`` and the
     documents that are not well-formed.
     """
-    parsed = documents.select("source_id", "url", F.from_xml("body", _SCHEMA, _OPTIONS).alias("x"))
+    parsed = computed(documents, "source_id", "url", F.from_xml("body", _SCHEMA, _OPTIONS).alias("x"))
     readable = F.col("x").isNotNull() & F.col("x.broken").isNull()
     none = F.array().cast("array<struct<loc:string>>")
     entries = F.concat(F.coalesce("x.sitemap", none), F.coalesce("x.url", none))
-    locs = (
-        parsed.filter(readable)
-        .select("source_id", F.col("url").alias("sitemap_url"), F.explode(entries).alias("e"))
-        .select("source_id", "sitemap_url", F.regexp_replace("e.loc", r"(?U)^\s+|\s+$", "").alias("loc"))
-        .filter("loc is not null")
+    listed = F.when(readable, F.filter(entries, lambda e: e["loc"].isNotNull()))
+    locs = parsed.select("source_id", F.col("url").alias("sitemap_url"), F.explode(listed).alias("e")).select(
+        "source_id", "sitemap_url", F.regexp_replace("e.loc", r"(?U)^\s+|\s+$", "").alias("loc")
     )
     errors = parsed.filter(~readable).select("source_id", "url", F.lit("sitemap is not well-formed XML").alias("error"))
     return locs, errors
@@ -78,7 +77,8 @@ def match_chapters(urls: DataFrame, slugs: DataFrame) -> DataFrame:
     ``urls`` has ``source_id, url`` and ``slugs`` has ``source_id, slug``.
     """
     distinct = urls.select("source_id", "url").distinct()
-    candidates = distinct.select("source_id", "url", F.explode(slug_candidates("url")).alias("slug"))
+    named = computed(distinct, "source_id", "url", slug_candidates("url").alias("slugs"))
+    candidates = named.select("source_id", "url", F.explode("slugs").alias("slug"))
     hits = lookup_join(candidates, slugs.distinct(), ["source_id", "slug"], "left_semi", spread_by=["url", "slug"])
     return hits.select("source_id", "url").distinct()
 
