@@ -6,18 +6,18 @@ import zoneinfo
 from datetime import datetime, timezone
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import col, fold
 
-# Entries of the zone database that are no zone ids.
-_NOT_ZONES = {"localtime", "posixrules", "Factory"}
-
-
 @lru_cache(maxsize=1)
 def known_zones() -> tuple[str, ...]:
-    return tuple(sorted(z for z in zoneinfo.available_timezones() if z not in _NOT_ZONES))
+    """Zone ids of the zone database that the JVM of the session can read as well."""
+    jvm = SparkSession.active()._jvm
+    readable = set(jvm.java.lang.String.join(" ", jvm.java.time.ZoneId.getAvailableZoneIds()).split(" "))
+    listed = zoneinfo.available_timezones() or readable
+    return tuple(sorted(z for z in listed if z in readable))
 
 
 def safe_zone(zone: Column | str) -> Column:

@@ -66,7 +66,7 @@ def render_feeds(
 
 def _escaped(text: Column | str) -> Column:
     """Text value with backslash, separators and line breaks escaped."""
-    return F.regexp_replace(F.regexp_replace(col(text), r"([\;,])", r"\\$1"), "\r\n|\r|\n", r"\\n")
+    return F.regexp_replace(F.regexp_replace(col(text), r"([\\;,])", r"\\$1"), "\r\n|\r|\n", r"\\n")
 
 
 def _folded(line: Column) -> Column:
