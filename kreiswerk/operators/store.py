@@ -13,6 +13,7 @@ from ..sources.events import EVENT_COLUMNS, EVENT_KEY, EVENT_SCHEMA
 from ..sources.geocode import CACHE_SCHEMA, newest_entries
 from .dedupe import dedupe_batch, drop_id_collisions
 from .health import RUN_SCHEMA
+from .joins import lookup_join
 from .search import search_text
 from .tables import AppendTable, BucketTable
 
@@ -39,7 +40,7 @@ def upsert(current: DataFrame, batch: DataFrame, now: datetime | str) -> DataFra
 def only_successful(events: DataFrame, errors: DataFrame) -> DataFrame:
     """Events of sources without an error; the stored events of a failed source are not touched."""
     failed = errors.select("source_id").distinct()
-    return events.join(failed, "source_id", "left_anti")
+    return lookup_join(events, failed, ["source_id"], "left_anti", spread_by=["source_event_id"])
 
 
 class EventStore:

@@ -32,7 +32,10 @@ from ..sources.sitemap import match_chapters, monthly_sitemaps, sitemap_locs
 
 @dataclass(frozen=True)
 class Landed:
-    """What an adapter reads: its sources, their resolved fetches, robots rules and the run time."""
+    """What an adapter reads: its sources, their resolved fetches, robots rules and the run time.
+
+    ``sources`` says in ``allowed`` whether robots rules admit the address of the source.
+    """
 
     sources: DataFrame
     fetches: DataFrame
@@ -108,7 +111,7 @@ ADAPTERS: dict[str, Adapter] = {"ics": calendar_adapter, "html": page_adapter(),
 
 def _entry_pages(landed: Landed) -> tuple[DataFrame, DataFrame]:
     """Bodies of the addresses the registry names, with errors for refused and failed ones."""
-    checked = mark_allowed(landed.sources.select(F.col("id").alias("source_id"), "url", "adapter"), landed.robots)
+    checked = landed.sources.select(F.col("id").alias("source_id"), "url", "adapter", "allowed")
     refused = checked.filter("not allowed").select(
         "source_id", F.lit("robots").alias("kind"), F.concat(F.lit("robots.txt disallows fetching "), "url").alias("error")
     )
@@ -147,11 +150,12 @@ def collect_raw(
         F.concat(F.lit("No source adapter registered for type '"), "type", F.lit("'.")).alias("error"),
     )
     rows, errors = [spark.createDataFrame([], RAW_SCHEMA)], [unknown]
+    checked = mark_allowed(sources, robots)
+    types = sources.select(F.col("id").alias("source_id"), F.col("type").alias("source_type")).distinct()
+    typed = lookup_join(fetches, types, ["source_id"], "inner", spread_by=["url"])
     for kind, adapter in adapters.items():
-        of_type = sources.filter(F.col("type") == kind)
-        ids = of_type.select(F.col("id").alias("source_id"))
-        own = lookup_join(fetches, ids, ["source_id"], "left_semi", spread_by=["url"])
-        found, failed = adapter(Landed(of_type, own, robots, now))
+        own = typed.filter(F.col("source_type") == kind).drop("source_type")
+        found, failed = adapter(Landed(checked.filter(F.col("type") == kind), own, robots, now))
         rows.append(found)
         errors.append(failed)
     return _union(rows), _union(errors)

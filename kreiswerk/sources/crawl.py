@@ -41,10 +41,11 @@ def carry_forward(crawl: DataFrame, cached: DataFrame) -> DataFrame:
     """Resolve each landed fetch to a body or an error.
 
     Adds ``not_modified``, ``outcome`` (ok, unreachable, http-error) and ``problem``. A 304 takes
-    the cached body; a 304 without one and any status outside 2xx is an error.
+    the cached body; a 304 without one and any status outside 2xx is an error. ``crawl`` has one row
+    per address, see ``newest_fetches``.
     """
     known = cached.select(*_KEY, F.col("body").alias("cached_body"))
-    joined = salted_join(crawl, known, _KEY, "left", spread_by=["source_id", "url", "fetched_at"])
+    joined = crawl.join(known, _KEY, "left")
     not_modified = F.coalesce((F.col("http_status") == 304) & F.col("cached_body").isNotNull(), F.lit(False))
     outcome = (
         F.when(F.col("http_status").isNull() | F.col("error").isNotNull(), F.lit("unreachable"))
@@ -80,7 +81,7 @@ def reuse_parsed(
     identity = ["source_id", "page_url", "content_hash"]
     seen = parsed.select(*identity).distinct()
     fresh = hashed.join(seen, identity, "left_anti")
-    unchanged = parsed.join(hashed.select(*identity).distinct(), identity, "left_semi")
+    unchanged = salted_join(parsed, hashed.select(*identity).distinct(), identity, "left_semi")
     hashes = fresh.select("source_id", "page_url", "content_hash").distinct()
-    extracted = extract(fresh.drop("content_hash", "page_url")).join(hashes, ["source_id", "page_url"])
+    extracted = salted_join(extract(fresh.drop("content_hash", "page_url")), hashes, ["source_id", "page_url"])
     return unchanged.unionByName(extracted)
