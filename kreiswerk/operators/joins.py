@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +64,13 @@ def salted_join(
     count the caller has already planned, so that its shuffle is shared.
     """
     on = list(on)
+    _check_types(rows, other, on)
     hot = hot_keys(rows, on, rows_per_task, counts)
     piece = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.coalesce("_pieces", F.lit(1)))
-    left = _with_pieces(rows, hot, on).withColumn("_piece", piece.cast("int"))
+    left = _with_hot(rows, hot, on).withColumn("_piece", piece.cast("int")).drop("_pieces")
     pieces = F.sequence(F.lit(0), (F.coalesce("_pieces", F.lit(1)) - 1).cast("int"))
-    right = _with_pieces(other, hot, on).withColumn("_piece", F.explode(pieces))
-    drop = ["_pieces", *_hot_names(on)]
-    return left.drop(*drop).join(right.drop(*drop), [*on, "_piece"], how).drop("_piece")
+    right = _with_hot(other, hot, on).withColumn("_piece", F.explode(pieces)).drop("_pieces")
+    return left.join(right, [*on, "_piece"], how).drop("_piece")
 
 
 def balanced_join(
@@ -93,52 +92,58 @@ def balanced_join(
     no key has more left rows than, spares counting a left side that is expensive to compute.
     """
     on = list(on)
-    hot_names = _hot_names(on)
-    named = [F.col(c).alias(h) for c, h in zip(on, hot_names)]
-    load = right.groupBy(*named).agg(F.count(F.lit(1)).alias("_r"))
-    if left_bound is None:
-        load = load.join(left.groupBy(*named).agg(F.count(F.lit(1)).alias("_l")), hot_names)
-    else:
-        load = load.withColumn("_l", left_bound)
+    _check_types(left, right, on)
+    count = lambda df, name: df.groupBy(_key_hash(on)).agg(F.count(F.lit(1)).alias(name))
+    load = count(right, "_r")
+    load = load.withColumn("_l", left_bound) if left_bound is not None else load.join(count(left, "_l"), "_hot")
     load = load.withColumn("_pairs", F.col("_l") * F.col("_r"))
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
     hot = (
-        load.orderBy(F.desc("_pairs"), *hot_names)
+        load.orderBy(F.desc("_pairs"), "_hot")
         .limit(HOT_KEYS)
         .filter(F.col("_pairs") > pairs_per_task)
-        .select(*hot_names, blocks("_l").alias("_lb"), blocks("_r").alias("_rb"))
+        .select("_hot", blocks("_l").alias("_lb"), blocks("_r").alias("_rb"))
     )
     one = F.lit(1)
     own = lambda by, n: F.pmod(F.xxhash64(*by), F.coalesce(n, one)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
-    drop = ["_lb", "_rb", *hot_names]
-    a = _with_pieces(left, hot, on).withColumn("_i", own(left_by, "_lb")).withColumn("_j", every("_rb")).drop(*drop)
-    b = _with_pieces(right, hot, on).withColumn("_j", own(right_by, "_rb")).withColumn("_i", every("_lb")).drop(*drop)
+    a = _with_hot(left, hot, on).withColumn("_i", own(left_by, "_lb")).withColumn("_j", every("_rb")).drop("_lb", "_rb")
+    b = _with_hot(right, hot, on).withColumn("_j", own(right_by, "_rb")).withColumn("_i", every("_lb")).drop("_lb", "_rb")
     return a.join(b, [*on, "_i", "_j"]).drop("_i", "_j")
 
 
 def hot_keys(
     rows: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, counts: DataFrame | None = None
 ) -> DataFrame:
-    """The most frequent keys and the number of pieces to cut each into; at most HOT_KEYS rows."""
-    counts = key_counts(rows, on) if counts is None else counts
-    pieces = F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_pieces")
-    return (
-        counts.orderBy(F.desc("_rows"), *on)
-        .limit(HOT_KEYS)
-        .filter(F.col("_rows") > rows_per_task)
-        .select(*[F.col(c).alias(h) for c, h in zip(on, _hot_names(on))], pieces)
+    """Hashes of the most frequent keys and the number of pieces to cut each into.
+
+    At most HOT_KEYS rows of two numbers, however long the keys are. Keys with the same hash are
+    cut alike, which both sides of a join see in the same way.
+    """
+    counts = (
+        rows.groupBy(_key_hash(on)).agg(F.count(F.lit(1)).alias("_rows"))
+        if counts is None
+        else counts.select(_key_hash(on), "_rows")
     )
+    pieces = F.ceil(F.max("_rows") / rows_per_task).cast("int").alias("_pieces")
+    top = counts.orderBy(F.desc("_rows"), "_hot").limit(HOT_KEYS).filter(F.col("_rows") > rows_per_task)
+    return top.groupBy("_hot").agg(pieces)
 
 
 def key_counts(rows: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def _with_pieces(df: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
-    same = reduce(Column.__and__, [df[c].eqNullSafe(hot[h]) for c, h in zip(on, _hot_names(on))])
-    return df.join(F.broadcast(hot), same, "left")
+def _key_hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*on).alias("_hot")
+
+
+def _with_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.withColumn("_hot", _key_hash(on)).join(F.broadcast(hot), "_hot", "left").drop("_hot")
 
 
-def _hot_names(on: Sequence[str]) -> list[str]:
-    return [f"_hot_{c}" for c in on]
+def _check_types(left: DataFrame, right: DataFrame, on: Sequence[str]) -> None:
+    """Key hashes agree only between columns of the same type."""
+    unlike = [c for c in on if left.schema[c].dataType.simpleString() != right.schema[c].dataType.simpleString()]
+    if unlike:
+        raise TypeError(f"join keys of different types: {', '.join(unlike)}")
