@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as registered
 import oracle
+from kreiswerk.plans.catalog import QUERIES as RUNS
+from kreiswerk.plans.catalog import SQL
 
 SF = "/root/testdata/sf0.001"
-RUNS, SQL = registered.queries(), registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(RUNS) == set(SQL)
+    assert set(RUNS) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
 
 
 def test_entry(spark):
