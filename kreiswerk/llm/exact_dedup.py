@@ -89,7 +89,8 @@ def radix_groups(
 def _split(rows: DataFrame, counts: DataFrame, on: list[str], name, width: int) -> DataFrame:
     """Rows with their new group; ``_rest`` is null where the row is settled."""
     open_ = F.col("_n").isNotNull() & (F.length("_digit") == width)
-    return rows.join(counts, on, "left").select(
+    # One plan at every size: the counts are never broadcast, as their number grows with the rows.
+    return rows.join(counts.hint("merge"), on, "left").select(
         "_id",
         "_sha",
         F.when(open_, name).alias("_group"),
