@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import cut, new_path
+from .work import cut, new_path, starts
 
 # Text bytes that one bucket holds on average; a bucket is shuffled in the memory of one task.
 BUCKET_BYTES = 8_000_000
@@ -39,39 +39,29 @@ def shuffle_into_shards(
     spark = docs.sparkSession
     rows = docs.drop("shard", "slot")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
-    total = rows.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    seen = rows.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    buckets, every = max(1, -(-(seen["bytes"] or 0) // bucket_bytes)), seen["rows"]
     # The digest tells rows apart in a fixed order; it decides no equality.
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = rows.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    places = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias(
-            "_first"
-        ),
-        F.sum("_n").over(Window.partitionBy()).alias("_all"),
-    )
-    places = cut(places, "shard-places")
-    names = rows.columns
+    places = cut(starts(counts, "_bucket", "_n").select("_bucket", "_first"), "shard-places")
     schema = rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("_order", "_bucket").schema
-    firsts = rows.join(F.broadcast(places), "_bucket").select(*names, "_first", "_all")
 
-    def shuffled(bucket: pa.Table) -> pa.Table:
-        first, every = bucket["_first"][0].as_py(), bucket["_all"][0].as_py()
-        number = bucket["_bucket"][0].as_py()
+    def shuffled(bucket: pa.Table, place_of: pa.Table) -> pa.Table:
+        number, first = bucket["_bucket"][0].as_py(), place_of["_first"][0].as_py()
         bucket = bucket.sort_by([("_order", "ascending"), (id_col, "ascending")])
         order = list(range(bucket.num_rows))
         random.Random(f"{seed}/{number}").shuffle(order)
         place = [first + i for i in range(len(order))]
         shard = [p * shards // every for p in place]
         slot = [p - -(-s * every // shards) for p, s in zip(place, shard, strict=True)]
-        bucket = bucket.take(pa.array(order, pa.int64())).drop_columns(["_order", "_bucket", "_first", "_all"])
+        bucket = bucket.take(pa.array(order, pa.int64())).drop_columns(["_order", "_bucket"])
         return bucket.append_column("shard", pa.array(shard, pa.int32())).append_column(
             "slot", pa.array(slot, pa.int64())
         )
 
-    out = firsts.groupBy("_bucket").applyInArrow(shuffled, schema)
+    out = rows.groupBy("_bucket").cogroup(places.groupBy("_bucket")).applyInArrow(shuffled, schema)
     path = path or new_path(spark, "shards")
     out.write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -77,3 +77,22 @@ def per_slice(
 def lower_ascii(text: Column | str) -> Column:
     """Lower-case the letters A to Z only."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def starts(counts: DataFrame, number: str, n: str, within: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """``counts`` with ``_first``: the sum of ``n`` over all smaller values of ``number``.
+
+    ``number`` counts from 0 and is unique within ``within``. Sums are formed in blocks, then over
+    the blocks, so that no task holds more than a 4096th of a long table.
+    """
+    rows = counts.withColumn("_block", F.floor(F.col(number) / block).cast("int"))
+    blocks = rows.groupBy(*within, "_block").agg(F.sum(n).alias("_in_block"))
+    before = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*within, "_block", F.coalesce(F.sum("_in_block").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy(*within, "_block").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inner", F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    return (
+        rows.join(blocks, [*within, "_block"])
+        .withColumn("_first", F.col("_base") + F.col("_inner"))
+        .drop("_block", "_base", "_inner")
+    )
