@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import radix_groups
 from .mixing import mix
+from .packing import best_fit, token_pieces
 from .registry import query
 from .sharding import shuffle_into_shards
+from .warc import captures
 from .work import per_slice, raw_bytes
 
 SHARDS = 16
+TOKENIZER = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +44,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(documents(spark, sf_dir))
 
 
+def _base32_sql(hex_digits: str) -> str:
+    """SQL for the base32 form of 40 hex digits: five of them are four characters."""
+    digit = lambda i: f"(instr('0123456789abcdef', substr({hex_digits}, {i}, 1)) - 1)"
+    five = lambda j: " + ".join(f"{digit(5 * j + i + 1)} * {16 ** (4 - i)}" for i in range(5))
+    one = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({bits}) // {unit}) % 32 + 1)::int, 1)"
+    return " || ".join(one.format(bits=five(j), unit=32 ** (3 - i)) for j in range(8) for i in range(4))
+
+
+@query(f"""
+    with p as (select page_id, encode(coalesce(html, '')) as b, sha1(coalesce(html, '')) as h from pages),
+    d as (select page_id, octet_length(b) as n, {_base32_sql("h")} as digest, max(page_id) over (partition by b) as first from p)
+    select page_id, n::bigint as payload_bytes, digest as payload_digest,
+        case when page_id = first then 'response' else 'revisit' end as record_type,
+        case when page_id <> first then first end as refers_to
+    from d
+""")
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, read back from their archives and merged."""
+    found = captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in the packed sequences."""
+    import public_tokenizers
+
+    packed = best_fit(token_pieces(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
 @query()
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document after the global shuffle, read from the written shards."""
