@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .work import cut, per_slice, raw_bytes, starts
 
 CAPACITY = 2048
-# Words a worker remembers the ids of; beyond them it starts afresh, with the same ids.
+# Words and parts a worker remembers the ids of, twice over: what was used since the last time the
+# memory was full outlives it, the rest is encoded again when it comes back.
 REMEMBERED = 400_000
 ROWS_PER_BUCKET = 50_000
 
@@ -37,24 +38,30 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        needed = set(words)
-        new = needed.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words, new = {}, needed
+        self.words, self.old_words = {}, {}
+        self.parts, self.old_parts = {}, {}
+
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """The ids of all words of ``texts``, and of others."""
+        needed = set().union(*texts)
+        if len(self.words) > REMEMBERED:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.old_parts = {}, self.parts
         split, whole = {}, []
-        for word in new:
+        new = needed.difference(self.words)
+        known = new.intersection(self.old_words)
+        self.words.update((w, self.old_words[w]) for w in known)
+        for word in new.difference(known):
             text = word.decode()
             if _PLAIN.fullmatch(text) and "<|" not in text:
                 split[word] = _PARTS.findall(text.lower())
             else:
                 whole.append(word)
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        parts = list({p for ps in split.values() for p in ps}.difference(self.parts))
+        parts = set().union(*split.values()).difference(self.parts)
+        known = parts.intersection(self.old_parts)
+        self.parts.update((p, self.old_parts[p]) for p in known)
+        parts = list(parts.difference(known))
         for i in range(0, len(parts), 1000):
             self._encode(parts[i : i + 1000])
         for word, ps in split.items():
@@ -94,7 +101,7 @@ def token_pieces(
         if tokenizer not in _LOADED:
             _LOADED[tokenizer] = WordIds(tokenizer)
         texts = [t.split() for t in raw_bytes(batch.column(1))]
-        ids_of = _LOADED[tokenizer].learn(w for words in texts for w in words)
+        ids_of = _LOADED[tokenizer].learn(texts)
         end = np.array([end_id], "<u4").tobytes()
         rows = [], [], [], [], [], []
         for doc, words in zip(batch.column(0).to_pylist(), texts, strict=True):
