@@ -13,6 +13,7 @@ from .mixing import mix
 from .packing import best_fit, token_pieces
 from .registry import query
 from .sharding import shuffle_into_shards
+from .simhash import near_groups
 from .warc import captures
 from .work import per_slice, raw_bytes
 
@@ -97,3 +98,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy component of every document."""
+    return near_groups(documents(spark, sf_dir))
