@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .exact_dedup import radix_groups
 from .mixing import mix
 from .packing import best_fit, token_pieces
+from .quality import judge, train
 from .registry import query
+from .secrets import find_secrets
 from .sharding import shuffle_into_shards
 from .simhash import near_groups
 from .warc import captures
@@ -25,6 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of every document."""
+    docs = documents(spark, sf_dir)
+    return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query()
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -67,6 +76,13 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = find_secrets(documents(spark, sf_dir))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 @query()
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
