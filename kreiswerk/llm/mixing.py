@@ -114,6 +114,10 @@ def tilts(sizes: DataFrame, aims: DataFrame, most: int = 3, steps: int = 60, nea
     return state
 
 
+def row_key(seed: int, id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
@@ -125,7 +129,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, rate, copies, taken.
+    """One row per row of ``docs``: id, key (of the row), size, source_size, target, rate, copies, taken.
 
     Rates come from :func:`tilts`. They are rounded at random, but evenly: a copy is added where a
     hash of the row falls below the fraction of its rate. Per source all hashes are moved by one
@@ -142,7 +146,7 @@ def mix(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(text_col).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"),
+        row_key(seed, id_col, text_col, source_col).alias("key"),
     )
     rows = cut(rows, "mix-rows")
     sizes = cut(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
@@ -173,6 +177,7 @@ def mix(
     copies = (whole + F.when(bin_ >= F.col("from_bin"), 1).otherwise(0)).cast("int")
     return rated.join(best, F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("doc_id").alias(id_col),
+        "key",
         "size",
         "source_size",
         "target",
@@ -180,3 +185,14 @@ def mix(
         copies.alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def mixed_rows(
+    docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it; all columns kept."""
+    taken = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    times = cut(taken.filter("copies > 0").groupBy("key").agg(F.max("copies").alias("_copies")), "mix-copies")
+    rows = docs.withColumn("_key", row_key(seed, id_col, text_col, source_col))
+    rows = rows.join(times.withColumnRenamed("key", "_key").hint("merge"), "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

@@ -171,7 +171,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
         for text in raw_bytes(batch.column(1)):
             distinct, ids, counts = statistics(text)
             quality = model.probability(features(text, distinct, ids)) if model else 1.0
-            failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+            failed = fails(counts)
             found.append((*counts, failed, not failed and quality >= threshold, quality))
         columns = list(zip(*found, strict=True)) if found else [()] * 8
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
@@ -186,3 +186,22 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
     )
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return texts.mapInArrow(per_slice(rows, "_text"), schema).withColumnRenamed("_id", id_col)
+
+
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, all columns, filtered where they are read."""
+
+    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for text in raw_bytes(batch.column(text_col)):
+            distinct, ids, counts = statistics(text)
+            failed = fails(counts)
+            keep.append(not failed and (model is None or model.probability(features(text, distinct, ids)) >= threshold))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(per_slice(good, text_col), docs.schema)
+
+
+def fails(counts: tuple[int, int, int, int, int]) -> bool:
+    """Fewer than 20 words, or over 30 % of them in repeated runs."""
+    return counts[0] < 20 or 100 * counts[4] > 30 * counts[0]

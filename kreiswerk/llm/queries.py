@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .class_lm import score_texts
 from .exact_dedup import radix_groups
 from .mixing import mix
 from .packing import best_fit, token_pieces
@@ -16,6 +17,7 @@ from .registry import query
 from .secrets import find_secrets
 from .sharding import shuffle_into_shards
 from .simhash import near_groups
+from .suffix_dedup import remove_repeats
 from .warc import captures
 from .work import per_slice, raw_bytes
 
@@ -83,6 +85,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+@query()
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and class-model scores of every document."""
+    return score_texts(documents(spark, sf_dir))
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that repeat."""
+    return remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 @query()
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""

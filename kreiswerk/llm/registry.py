@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .work import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(run):
-        QUERIES[run.__name__] = run
+        @wraps(run)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[run.__name__] = shipped
         if sql is not None:
             SQL[run.__name__] = sql
-        return run
+        return shipped
 
     return register

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import cut, per_slice, raw_bytes
+from .work import cut, one_of, per_slice, raw_bytes
 
 SEED = 42
 PIVOTS = 8
@@ -236,18 +236,22 @@ def near_groups(
 
 
 def drop_near_copies(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shingle: int = 5,
+    similarity: float = 0.8,
+    lanes: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with the row of the smallest id of each near-copy group, all columns kept.
 
     A share of equal shingles of ``similarity`` (Jaccard) is a cosine of 2 s / (1 + s) for sets of
     one size, at which a share acos(cosine) / pi of all bits is expected to differ; that share of
-    64 bits a lane is the radius. Rows without an id stay.
+    64 bits a lane is the radius. Rows without an id stay; of rows that share an id one stays.
     """
     bits = 64 * lanes
     radius = round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     groups = near_groups(docs, shingle, radius, lanes, True, id_col, text_col)
-    keep = groups.select(F.col("component_id").alias("_keep")).distinct()
-    keep = cut(keep, "simhash-kept")
-    is_kept = F.col(id_col).eqNullSafe(F.col("_keep"))
-    return docs.dropDuplicates([id_col]).join(keep, is_kept, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    keep = groups.filter("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
+    kept = one_of(docs.join(cut(keep, "simhash-kept").hint("merge"), id_col), id_col).select(docs.columns)
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,25 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, also where it is not installed: once per application.
+
+    The driver hands the sources to Spark, which serves them to every executor.
+    """
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parents[1]
+    path = f"{tempfile.mkdtemp(prefix='llm-')}/{package.name}-sources.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in package.rglob("*.py"):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors can reach.
 
@@ -63,12 +84,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000
 
 
 def per_slice(
-    rows: Callable[[pa.RecordBatch], pa.RecordBatch], column: str
+    rows: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most: int = 8_000_000
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function that applies ``rows`` to slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, most):
             yield rows(batch)
 
     return run
@@ -96,3 +117,9 @@ def starts(counts: DataFrame, number: str, n: str, within: tuple[str, ...] = (),
         .withColumn("_first", F.col("_base") + F.col("_inner"))
         .drop("_block", "_base", "_inner")
     )
+
+
+def one_of(rows: DataFrame, name: str) -> DataFrame:
+    """One row of those with the same ``name``."""
+    number = F.row_number().over(Window.partitionBy(name).orderBy(name))
+    return rows.withColumn("_number", number).filter("_number = 1").drop("_number")
