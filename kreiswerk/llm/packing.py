@@ -129,8 +129,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     length and one class of gaps per size, however many documents there are. In a superstep every
     waiting length looks up its successor, the smallest gap that holds it, in the gaps as they were
     when the step began. Where several want the same gaps the longer one ranks first, and a shorter
-    one never takes gaps that a longer one still waits for. Then gaps are updated. The longest
-    length that no gap holds opens as many sequences as its pieces fill.
+    one never takes gaps that a longer one still waits for. Then gaps are updated. When a superstep
+    places nothing, the longest length that waits opens as many sequences as its pieces fill.
     """
     waiting = {length: n for length, n in sorted(counts.items(), reverse=True) if n}
     rank = dict.fromkeys(waiting, 0)
@@ -140,21 +140,13 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         sizes = sorted(gaps)
         supply = {g: sum(n for _, n in gaps[g]) for g in sizes}
         updates: list[tuple[int, int, int]] = []
-        limit, may_open = capacity + 1, True
+        limit = capacity + 1
         for length in list(waiting):
             i = bisect_left(sizes, length)
-            if i == len(sizes):
-                if may_open:
-                    n = -(-waiting[length] // (capacity // length))
-                    updates.append((capacity, opened, n))
-                    opened += n
-                    may_open = False
+            if i == len(sizes) or sizes[i] >= limit:
                 limit = min(limit, length)
                 continue
             gap = sizes[i]
-            if gap >= limit:
-                limit = min(limit, length)
-                continue
             take = min(waiting[length], supply[gap])
             supply[gap] -= take
             waiting[length] -= take
@@ -173,6 +165,11 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
                 limit = min(limit, length)
             else:
                 del waiting[length]
+        if not updates:
+            longest = next(iter(waiting))
+            n = -(-waiting[longest] // (capacity // longest))
+            updates.append((capacity, opened, n))
+            opened += n
         for gap, first, n in updates:
             if gap:
                 insort(gaps.setdefault(gap, []), (first, n))
