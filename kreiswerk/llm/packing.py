@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +189,10 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...]
     pieces = cut(pieces, "pieces")
     names = pieces.columns
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan = sorted(best_fit_plan(counts, capacity))
-    tos = {length: np.array([p[2] for p in plan if p[0] == length]) for length in counts}
-    moves = {length: np.array([(p[3] - p[1], p[4]) for p in plan if p[0] == length]) for length in counts}
+    tos, moves = {}, {}
+    for length, moved in groupby(sorted(best_fit_plan(counts, capacity)), key=lambda move: move[0]):
+        moved = np.array(list(moved))
+        tos[length], moves[length] = moved[:, 2], np.stack([moved[:, 3] - moved[:, 1], moved[:, 4]], axis=1)
     buckets = max(1, -(-sum(counts.values()) // ROWS_PER_BUCKET))
     rows = pieces.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     per_bucket = rows.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
