@@ -18,7 +18,7 @@ from .work import cut, per_slice, raw_bytes, starts
 CAPACITY = 2048
 # Words and parts a worker remembers the ids of, twice over: what was used since the last time the
 # memory was full outlives it, the rest is encoded again when it comes back.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 ROWS_PER_BUCKET = 50_000
 
 # Words of these characters are split as the tokenizer splits them: all are their own NFC form and
@@ -82,6 +82,13 @@ class WordIds:
 _LOADED: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """This worker's memory for a tokenizer; it outlives the task, as a task's own globals would not."""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
+
+
 def token_pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -99,10 +106,8 @@ def token_pieces(
     """
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = WordIds(tokenizer)
         texts = [t.split() for t in raw_bytes(batch.column(1))]
-        ids_of = _LOADED[tokenizer].learn(texts)
+        ids_of = word_ids(tokenizer).learn(texts)
         end = np.array([end_id], "<u4").tobytes()
         rows = [], [], [], [], [], []
         for doc, words in zip(batch.column(0).to_pylist(), texts, strict=True):
