@@ -83,21 +83,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale * score + self.offset, -30, 30))))
 
 
-def fit(rows: list[tuple[list[np.ndarray], int]], steps: int = 80, rate: float = 4.0, ridge: float = 1e-5) -> Model:
-    """Fit on all but every ``HELD_OUT``-th row, and calibrate on those that are held out.
+def shares(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places a document uses, and the share of its n-grams of each kind that fall there."""
+    used = [(*np.unique(p, return_counts=True), len(p)) for p in parts if len(p)]
+    if not used:
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32)
+    return np.concatenate([at for at, _, _ in used]), np.concatenate([n / size for _, n, size in used])
+
+
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 80, rate: float = 4.0, ridge: float = 1e-5
+) -> Model:
+    """Fit on all but every ``HELD_OUT``-th of the rows of (places, shares, label), and calibrate on those.
 
     Every kind of n-gram weighs one in a document, so a score is a sum of mean weights. Classes
     weigh alike; calibration brings back their true odds.
     """
-    place, value, row, label = [], [], [], np.array([y for _, y in rows], float)
-    for i, (parts, _) in enumerate(rows):
-        used = [(np.unique(p, return_counts=True), len(p)) for p in parts if len(p)]
-        for (at, n), size in used:
-            place.append(at)
-            value.append(n / size)
-            row.append(np.full(len(at), i))
-    place, value, row = (np.concatenate(x) if x else np.zeros(0) for x in (place, value, row))
-    place, row = place.astype(np.int64), row.astype(np.int64)
+    label = np.array([y for _, _, y in rows], float)
+    place = np.concatenate([p for p, _, _ in rows]).astype(np.int32)
+    value = np.concatenate([v for _, v, _ in rows]).astype(np.float32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p, _, _ in rows])
     held = np.arange(len(rows)) % HELD_OUT == HELD_OUT - 1
     weight = np.where(label > 0, 1 / max(1, (label > 0)[~held].sum()), 1 / max(1, (label <= 0)[~held].sum())) * ~held
     weights, bias, past = np.zeros(1 << FEATURE_BITS), 0.0, np.full(1 << FEATURE_BITS, 1e-9)
@@ -135,22 +140,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     sample = texts.join(F.broadcast(known), F.col("_id") == F.col("_of")).select("_id", "_label", "_text")
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t, *statistics(t)[:2]) for t in raw_bytes(batch.column("_text"))]
-        parts = pa.array([[p.astype("<u4").tobytes() for p in f] for f in found], pa.list_(pa.binary()))
-        return pa.record_batch([batch.column("_id"), batch.column("_label"), parts], names=["_id", "_label", "parts"])
+        found = [shares(features(t, *statistics(t)[:2])) for t in raw_bytes(batch.column("_text"))]
+        places = pa.array([p.astype("<u4").tobytes() for p, _ in found], pa.binary())
+        values = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
+        return pa.record_batch([batch.column("_id"), batch.column("_label"), places, values], names=sample_names)
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         found.sort()
-        rows = [([np.frombuffer(p, "<u4") for p in parts], label) for _, label, parts in found]
-        if len({label for _, label in rows}) == 2:
+        rows = [(np.frombuffer(p, "<u4"), np.frombuffer(v, "<f4"), label) for _, label, p, v in found]
+        if len({label for _, _, label in rows}) == 2:
             m = fit(rows)
             yield pa.record_batch(
                 [pa.array([m.weights.tobytes()], pa.binary()), *(pa.array([x]) for x in (m.bias, m.scale, m.offset))],
                 names=["weights", "bias", "scale", "offset"],
             )
 
-    parts = sample.mapInArrow(per_slice(placed, "_text"), "_id long, _label int, parts array<binary>")
+    sample_names = ["_id", "_label", "places", "shares"]
+    parts = sample.mapInArrow(per_slice(placed, "_text"), "_id long, _label int, places binary, shares binary")
     best = parts.repartition(1).mapInArrow(fitted, "weights binary, bias double, scale double, offset double").first()
     if best is None:
         return None

@@ -20,7 +20,7 @@ PIVOTS = 8
 FEWEST_TABLES = 24
 # Fingerprints of one bucket that meet in one task at most, and rows a task works on at a time.
 BUCKET_ROWS = 4096
-ROWS_AT_ONCE = 300_000
+ROWS_AT_ONCE = 100_000
 
 
 def fingerprint(words: list[bytes], shingle: int, lanes: int) -> bytes:

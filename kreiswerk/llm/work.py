@@ -17,12 +17,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, also where it is not installed: once per application.
 
-    The driver hands the sources to Spark, which serves them to every executor.
+    The driver hands the sources to Spark, which serves them to every executor. Arrow batches are
+    kept short, so that workers hold little of their partition at a time.
     """
     if spark.sparkContext.applicationId in _SHIPPED:
         return
@@ -32,6 +34,8 @@ def ship(spark: SparkSession) -> None:
         for source in package.rglob("*.py"):
             out.write(source, source.relative_to(package.parent))
     spark.sparkContext.addPyFile(path)
+    # Rows of one Arrow batch: Spark counts rows only, and texts are long.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
@@ -69,7 +73,7 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one slice hold about ``most`` bytes, a longer text alone."""
     for batch in batches:
         start = held = 0
@@ -84,7 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000
 
 
 def per_slice(
-    rows: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most: int = 8_000_000
+    rows: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, most: int = 2_000_000
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function that applies ``rows`` to slices of bounded size."""
 
