@@ -18,7 +18,7 @@ from .work import cut, per_slice, raw_bytes, starts
 CAPACITY = 2048
 # Words and parts a worker remembers the ids of, twice over: what was used since the last time the
 # memory was full outlives it, the rest is encoded again when it comes back.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
 ROWS_PER_BUCKET = 50_000
 
 # Words of these characters are split as the tokenizer splits them: all are their own NFC form and
@@ -35,19 +35,19 @@ class WordIds:
     before are encoded, many in one call.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.words, self.old_words = {}, {}
         self.parts, self.old_parts = {}, {}
 
     def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """The ids of all words of ``texts``, and of others."""
         needed = set().union(*texts)
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words, self.old_words = {}, self.words
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > self.remembered:
             self.parts, self.old_parts = {}, self.parts
         split, whole = {}, []
         new = needed.difference(self.words)
@@ -79,14 +79,14 @@ class WordIds:
             self.parts[part] = ids[a:b].tobytes()
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int) -> WordIds:
     """This worker's memory for a tokenizer; it outlives the task, as a task's own globals would not."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    if (path, remembered) not in _LOADED:
+        _LOADED[path, remembered] = WordIds(path, remembered)
+    return _LOADED[path, remembered]
 
 
 def token_pieces(
@@ -95,6 +95,7 @@ def token_pieces(
     capacity: int = CAPACITY,
     end_id: int = 0,
     with_ids: bool = False,
+    remembered: int = REMEMBERED,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -102,12 +103,13 @@ def token_pieces(
 
     Every text becomes its ids and ``end_id``; what is longer than ``capacity`` is cut into pieces
     of that length and a rest. Null texts count as empty and give one piece with the end id. Null
-    ids and repeated rows are kept; other columns are ignored.
+    ids and repeated rows are kept; other columns are ignored. ``remembered`` words and as many parts
+    are kept in a worker's memory, twice over, at 200 bytes each or so; ids do not depend on it.
     """
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.split() for t in raw_bytes(batch.column(1))]
-        ids_of = word_ids(tokenizer).learn(texts)
+        ids_of = word_ids(tokenizer, remembered).learn(texts)
         end = np.array([end_id], "<u4").tobytes()
         rows = [], [], [], [], [], []
         for doc, words in zip(batch.column(0).to_pylist(), texts, strict=True):

@@ -365,10 +365,9 @@ def test_pieces_and_packing(docs, none, monkeypatch):
     assert packing.best_fit(packing.token_pieces(none, path)).count() == 0
 
 
-def test_word_memory_keeps_ids(monkeypatch):
+def test_word_memory_keeps_ids():
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    monkeypatch.setattr(packing, "REMEMBERED", 20)
-    ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), 20)
     for seed in (1, 2, 1, 3, 1):
         words = prose(seed, 30).encode().split()
         known = ids.learn([words, []])
