@@ -116,7 +116,6 @@ GERMANY_NAME = "Deutschland"
 MAX_RADIUS_KM = 500.0
 MAX_PAGE = 500
 DEFAULT_PAGE = 100
-MAX_GEOCODES_PER_RUN = 200
 
 # Gazetteer rules.
 MIN_ALIAS_LENGTH = 4

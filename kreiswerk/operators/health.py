@@ -14,8 +14,14 @@ from .joins import lookup_join
 RUN_SCHEMA = "source_id string, run_utc timestamp, success_utc timestamp, event_count int, error string"
 
 
-def run_outcomes(registry: DataFrame, events: DataFrame, errors: DataFrame, now: datetime | str) -> DataFrame:
-    """One run-log row per enabled source.
+def run_outcomes(
+    registry: DataFrame,
+    events: DataFrame,
+    errors: DataFrame,
+    now: datetime | str,
+    attempted: DataFrame | None = None,
+) -> DataFrame:
+    """One run-log row per enabled source, of those in ``attempted`` (source_id) or with an error if given.
 
     ``events`` are the normalised events before batch deduplication, which is what the count
     counts. ``errors`` has ``source_id, error``; a source with an error counts as failed, with no
@@ -24,6 +30,9 @@ def run_outcomes(registry: DataFrame, events: DataFrame, errors: DataFrame, now:
     counts = events.groupBy("source_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     first = errors.groupBy("source_id").agg(F.min("error").alias("error"))
     sources = registry.filter("enabled").select(F.col("id").alias("source_id"))
+    if attempted is not None:
+        tried = attempted.select("source_id").unionByName(errors.select("source_id")).distinct()
+        sources = sources.join(tried, "source_id", "left_semi")
     ok = F.col("error").isNull()
     return (
         sources.join(counts, "source_id", "left")

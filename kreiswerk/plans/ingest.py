@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
@@ -9,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import KEYWORD_TO_TAG, MAX_GEOCODES_PER_RUN
+from ..functions.fixed_values import KEYWORD_TO_TAG
 from ..functions.tags import extract_tags, merge_tags
 from ..functions.text import clean_description, clean_title
 from ..functions.times import dedupe_key, default_zone, instant, not_ended
@@ -19,8 +20,8 @@ from ..operators.joins import lookup_join
 from ..operators.resolve import resolve_locations
 from ..operators.store import EventStore
 from ..session import prepare, write_through
-from ..sources.calendar import extract_calendar_events
-from ..sources.crawl import carry_forward, newest_fetches
+from ..sources.calendar import calendar_events
+from ..sources.crawl import carry_forward, known_good, newest_fetches, with_unlanded
 from ..sources.events import RAW_SCHEMA, raw_events
 from ..sources.geocode import apply_answers, pending_geocodes
 from ..sources.pages import extract_jsonld_events, extract_state_events
@@ -29,7 +30,6 @@ from ..sources.robots import mark_allowed
 from ..sources.sitemap import match_chapters, monthly_sitemaps, sitemap_locs
 
 
-
 @dataclass(frozen=True)
 class Landed:
     """What an adapter reads: its sources, their resolved fetches, robots rules and the run time.
@@ -56,7 +56,7 @@ PAGE_PARSERS: dict[str, PageParser] = {"meetup-group": extract_state_events}
 
 def calendar_adapter(landed: Landed) -> tuple[DataFrame, DataFrame]:
     pages, errors = _entry_pages(landed)
-    rows, parse_errors = extract_calendar_events(pages, landed.now)
+    rows, parse_errors, _ = calendar_events(pages, landed.now)  # an odd entry fails no feed
     return raw_events(rows), errors.unionByName(_as_errors(parse_errors, "parse"))
 
 
@@ -106,6 +106,9 @@ def sitemap_adapter(landed: Landed) -> tuple[DataFrame, DataFrame]:
     return raw_events(rows), errors
 
 
+# Sources whose events are found by a walk over several pages.
+WALKED_TYPES = ("gdg-sitemap",)
+
 ADAPTERS: dict[str, Adapter] = {"ics": calendar_adapter, "html": page_adapter(), "gdg-sitemap": sitemap_adapter}
 
 
@@ -229,24 +232,33 @@ def ingest(
     geocoder: Geocoder | None = None,
     keyword_to_tag: Mapping[str, str] = KEYWORD_TO_TAG,
     adapters: Mapping[str, Adapter] = ADAPTERS,
-    geocode_cap: int = MAX_GEOCODES_PER_RUN,
+    geocode_cap: int | None = None,
 ) -> DataFrame:
     """One ingestion pass over landed crawl results; returns the run-log rows it wrote.
 
-    A source with an error keeps what earlier passes stored. Raw events, normalised events and
+    A pass sees what earlier passes stored, so it does not matter how a crawl was cut into batches.
+    Fetches are resolved once and written. A source with an error keeps what earlier passes stored. Raw events, normalised events and
     errors are written once each, because several outputs are derived from them.
     """
     prepare(registry.sparkSession)
-    fetches = carry_forward(newest_fetches(crawl), store.fetches.read())
+    stored = store.fetches.read()
+    walked = registry.filter(F.col("type").isin(*WALKED_TYPES)).select(F.col("id").alias("source_id"))
+    landed = with_unlanded(newest_fetches(crawl), stored, walked)
+    fetches = write_through(carry_forward(landed, known_good(crawl, stored)), "fetches")
     found, failed = collect_raw(registry, fetches, robots, now, adapters)
     raw, errors = write_through(found, "raw"), write_through(failed, "errors")
     if geocoder is not None:
         pending = write_through(pending_geocodes(raw, store.geocode_cache(), geocode_cap), "queries")
-        store.geocodes.append(apply_answers(store.geocodes.read().limit(0), geocoder(pending), now))
+        try:
+            answers = write_through(apply_answers(store.geocodes.read().limit(0), geocoder(pending), now), "answers")
+        except Exception as failure:  # noqa: BLE001 - whatever a geocoder throws, the gazetteer stands in for it
+            warnings.warn(f"geocoder failed, going on with the gazetteer: {failure}", stacklevel=2)
+        else:
+            store.geocodes.append(answers)
     cache = store.geocode_cache() if geocoder is not None else None
     events = write_through(normalize_events(raw, registry, keys, postal, cache, now, keyword_to_tag), "events")
     store.upsert_events(events, errors, now)
     store.keep_fetches(crawl)
-    runs = write_through(run_outcomes(registry, events, errors, now), "runs")
+    runs = write_through(run_outcomes(registry, events, errors, now, crawl.select("source_id")), "runs")
     store.runs.append(runs)
     return runs

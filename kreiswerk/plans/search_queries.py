@@ -333,7 +333,7 @@ def geo_cascade_cached(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""SELECT query, text, events FROM (SELECT {fold_sql(_QUERY)} AS query, min({_QUERY}) AS text, count(*) AS events FROM fx_raw_event WHERE {_ELIGIBLE} GROUP BY 1)
-WHERE length(query) % 2 <> 0 ORDER BY events DESC, query LIMIT 200""",
+WHERE length(query) % 2 <> 0""",
     "fx_raw_event",
 )
 def pending_geocodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,8 +61,8 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         end["zone"].alias("end_zone"),
         _duration(_value("DURATION")).alias("duration"),
         F.upper(_value("RRULE")).alias("rule"),
-        _stamps("RDATE").alias("extra"),
-        _stamps("EXDATE").alias("excluded"),
+        _stamps("RDATE", start["zone"]).alias("extra"),
+        _stamps("EXDATE", start["zone"]).alias("excluded"),
     ]
     return computed(entries, *columns).filter("uid is not null and start_wall is not null"), errors
 
@@ -70,7 +70,16 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extract_calendar_events(
     feeds: DataFrame, now: datetime | str, months: int = 12
 ) -> tuple[DataFrame, DataFrame]:
-    """Occurrences that are not over at ``now`` and start within ``months``, and what failed.
+    """Like :func:`calendar_events`, with feeds and entries that failed in one table."""
+    events, errors, unsupported = calendar_events(feeds, now, months)
+    return events, errors.unionByName(unsupported)
+
+
+def calendar_events(
+    feeds: DataFrame, now: datetime | str, months: int = 12
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences that are not over at ``now`` and start within ``months``, feeds that are no calendar,
+    and entries whose rule is not supported; the latter leave the other entries of their feed alone.
 
     A recurring entry is expanded in its own wall clock, so it keeps its local hour across a change
     of daylight saving time. Entries with a rule outside the supported subset are reported.
@@ -120,7 +129,7 @@ def extract_calendar_events(
         "feed_pos",
         F.col("feed_url").alias("page_url"),
     )
-    return events, errors.unionByName(unsupported)
+    return events, errors, unsupported
 
 
 # --- properties of one entry -----------------------------------------------------------------
@@ -184,10 +193,23 @@ def _wall(value: Column) -> Column:
     return F.try_to_timestamp(F.concat(digits, clock), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
-def _stamps(name: str) -> Column:
-    """Wall-clock times of all lines of a list property."""
-    values = F.flatten(F.transform(name, lambda line: F.split(F.regexp_extract(line, _LINE, 2), ",")))
-    return F.array_compact(F.transform(values, _wall))
+def _stamps(name: str, zone: Column) -> Column:
+    """Times of all lines of a list property, in the wall clock of the entry's ``zone``.
+
+    A value in UTC or with a zone of its own is an instant; others are wall-clock times already.
+    """
+    entry_zone = F.coalesce(zone, F.lit("UTC"))
+
+    def stamp(value: Column, tzid: Column) -> Column:
+        own = F.when(value.rlike("^[0-9]{8}T[0-9]{6}Z"), F.lit("UTC")).when(tzid != "", safe_zone(tzid))
+        moved = F.from_utc_timestamp(F.to_utc_timestamp(_wall(value).cast("timestamp"), own), entry_zone)
+        return F.when(own.isNull(), _wall(value)).otherwise(moved.cast("timestamp_ntz"))
+
+    def stamps(line: Column) -> Column:
+        tzid = F.regexp_extract(F.regexp_extract(line, _LINE, 1), r'(?i);TZID="?([^";:]+)', 1)
+        return F.transform(F.split(F.regexp_extract(line, _LINE, 2), ","), lambda value: stamp(value, tzid))
+
+    return F.array_compact(F.flatten(F.transform(name, stamps)))
 
 
 def _duration(value: Column) -> Column:

@@ -37,6 +37,28 @@ def last_good(crawl: DataFrame) -> DataFrame:
     return crawl.filter(succeeded()).groupBy(*_KEY).agg(newest.alias("c")).select(*_KEY, "c.*")
 
 
+def known_good(crawl: DataFrame, stored: DataFrame) -> DataFrame:
+    """Newest good body per address, of the store and of all rows of a batch.
+
+    A batch may hold a 200 and a later 304 of one address; the 304 means the body of the 200.
+    """
+    rows = last_good(crawl).unionByName(stored.select(*_KEY, *_CACHED))
+    newest = F.max_by(F.struct(*_CACHED), F.struct("fetched_at", F.xxhash64("body")))
+    return rows.groupBy(*_KEY).agg(newest.alias("c")).select(*_KEY, "c.*")
+
+
+def with_unlanded(crawl: DataFrame, stored: DataFrame, sources: DataFrame) -> DataFrame:
+    """``crawl`` and, for those of ``sources`` (source_id) in it, the stored addresses it does not hold.
+
+    They count as unchanged, so a walk over several pages of a source finds the pages that landed in
+    an earlier batch.
+    """
+    here = crawl.join(sources.select("source_id").distinct(), "source_id", "left_semi").select("source_id").distinct()
+    missing = stored.join(here, "source_id", "left_semi").join(crawl.select(*_KEY), _KEY, "left_anti")
+    unchanged = {"http_status": F.lit(304), "error": F.lit(None).cast("string"), "body": F.lit(None).cast("string")}
+    return crawl.unionByName(missing.withColumns(unchanged).select(crawl.columns))
+
+
 def carry_forward(crawl: DataFrame, cached: DataFrame) -> DataFrame:
     """Resolve each landed fetch to a body or an error.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,32 +24,49 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_places(lines: DataFrame) -> DataFrame:
-    """``line, line_no`` to places. Lines with fewer than six fields are skipped, quotes kept."""
+    """``line, line_no`` to places; quotes are kept. Lines that are none are left to ``unread_places``."""
     f = F.split("line", ";", 6)
-    aliases = F.filter(F.split(f[1], r"\|", 8), lambda a: a != "")
+    aliases = F.filter(F.split(f[1], r"\|"), lambda a: a != "")
     return (
-        lines.filter((F.size(f) == 6) & (F.col("line") != PLACES_HEADER))
+        lines.filter((F.size(f) == 6) & (F.col("line") != PLACES_HEADER) & _numbers(f[3], f[4], f[5]))
         .select(
             f[0].alias("name"),
             aliases.alias("aliases"),
             f[2].alias("admin1"),
-            f[3].cast("bigint").alias("population"),
-            f[4].cast("double").alias("lat"),
-            f[5].cast("double").alias("lon"),
+            f[3].try_cast("bigint").alias("population"),
+            f[4].try_cast("double").alias("lat"),
+            f[5].try_cast("double").alias("lon"),
             "line_no",
         )
     )
 
 
+def unread_places(lines: DataFrame) -> DataFrame:
+    """Lines with fewer than six fields or with a number that cannot be read."""
+    f = F.split("line", ";", 6)
+    return lines.filter((F.col("line") != PLACES_HEADER) & ~((F.size(f) == 6) & _numbers(f[3], f[4], f[5])))
+
+
+def unread_postal(lines: DataFrame) -> DataFrame:
+    """Lines with fewer than five fields or with a number that cannot be read."""
+    f = F.split("line", ";", 5)
+    return lines.filter((F.col("line") != POSTAL_HEADER) & ~((F.size(f) == 5) & _numbers(f[3], f[4])))
+
+
+def _numbers(*fields: Column) -> Column:
+    readable = [field.try_cast("double").isNotNull() for field in fields]
+    return F.coalesce(reduce(lambda a, b: a & b, readable), F.lit(False))
+
+
 def parse_postal(lines: DataFrame) -> DataFrame:
     """``line, line_no`` to postal rows; repeated codes are kept, see ``postal_lookup``."""
     f = F.split("line", ";", 5)
-    return lines.filter((F.size(f) == 5) & (F.col("line") != POSTAL_HEADER)).select(
+    return lines.filter((F.size(f) == 5) & (F.col("line") != POSTAL_HEADER) & _numbers(f[3], f[4])).select(
         f[0].alias("plz"),
         f[1].alias("name"),
         f[2].alias("admin1"),
-        f[3].cast("double").alias("lat"),
-        f[4].cast("double").alias("lon"),
+        f[3].try_cast("double").alias("lat"),
+        f[4].try_cast("double").alias("lon"),
         "line_no",
     )
 

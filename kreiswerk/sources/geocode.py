@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import geocode_key, geocode_precision, geocode_query, looks_like_street
-from ..functions.fixed_values import GERMANY_LAT, GERMANY_LON, MAX_GEOCODES_PER_RUN
+from ..functions.fixed_values import GERMANY_LAT, GERMANY_LON
 from ..functions.times import instant
 from ..operators.joins import salted_join
 
@@ -35,14 +35,14 @@ def geocode_requests(raw: DataFrame) -> DataFrame:
     return asked.groupBy("query").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("events"))
 
 
-def pending_geocodes(raw: DataFrame, cache: DataFrame, cap: int = MAX_GEOCODES_PER_RUN) -> DataFrame:
-    """Queries without a cache entry, at most ``cap`` per run: the quota of the geocoder.
+def pending_geocodes(raw: DataFrame, cache: DataFrame, cap: int | None = None) -> DataFrame:
+    """Queries without a cache entry; with ``cap``, a geocoder's quota, at most so many per run.
 
-    The queries with the most events go first; the rest waits for a later run and falls back to
-    the gazetteer until then.
+    Under a quota the queries with the most events go first; the rest waits for a later run and
+    falls back to the gazetteer until then.
     """
     open_queries = geocode_requests(raw).join(cache.select("query"), "query", "left_anti")
-    return open_queries.orderBy(F.desc("events"), "query").limit(cap)
+    return open_queries if cap is None else open_queries.orderBy(F.desc("events"), "query").limit(cap)
 
 
 def read_answers(responses: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import ingest
 from ..session import prepare, write_through
-from ..sources.crawl import CRAWL_SCHEMA, newest_fetches
+from ..sources.crawl import CRAWL_SCHEMA
 
 
 def stream_ingest(
@@ -19,19 +19,21 @@ def stream_ingest(
     landed_path: str,
     checkpoint_path: str,
     run: Callable[[DataFrame, datetime], object],
-    max_files: int = 1000,
+    max_files: int | None = None,
 ) -> StreamingQuery:
     """Process all crawl files landed since the last call, then stop.
 
     ``run(crawl, now)`` is one pass, for example ``ingest_pass(...)``. The time of a pass is the
     newest fetch time in its batch, so a batch that is repeated after a failure gives the same
-    result. The deployer decides how often to call.
+    result. The deployer decides how often to call. ``max_files`` bounds the files of one pass; a pass
+    sees what earlier ones stored, so the bound does not change which events are found.
     """
     prepare(spark)
-    landed = spark.readStream.schema(CRAWL_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(landed_path)
+    reader = spark.readStream.schema(CRAWL_SCHEMA)
+    landed = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(landed_path)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        crawl = write_through(newest_fetches(batch), f"crawl-{batch_id}")
+        crawl = write_through(batch, f"crawl-{batch_id}")
         newest = crawl.agg(F.unix_micros(F.max("fetched_at"))).first()[0]
         if newest is not None:
             run(crawl, datetime.fromtimestamp(newest / 1e6, tz=timezone.utc))

@@ -258,3 +258,19 @@ def test_urls(spark):
     got = rows.select(urls.url_host("u").alias("h"), urls.url_path("u").alias("p"), urls.path_tail("u").alias("t"), urls.absolute_or_null("u").alias("a")).collect()
     assert tuple(got[0]) == ("host.example", "/a/b/", "b", "https://User@Host.example:8080/a/b/?q#f")
     assert got[1].a == "mailto:x" and tuple(got[2])[:2] == ("h", "/")
+
+
+def test_excluded_and_extra_dates_have_zones(spark):
+    lines = ("DTSTART;TZID=Europe/Berlin:20260105T100000", "RRULE:FREQ=DAILY;COUNT=3", "SUMMARY:z")
+    lines += ("EXDATE:20260106T090000Z", "RDATE:20260110T090000Z", "RDATE;TZID=America/New_York:20260111T040000")
+    rows, _ = calendar.extract_calendar_events(page(spark, vevent(*lines)), NOW.replace(year=2026, month=1, day=1))
+    assert sorted(r.start_utc.strftime("%d %H") for r in rows.collect()) == ["05 09", "07 09", "10 09", "11 09"]
+
+
+def test_gazetteer_lines_that_cannot_be_read(spark):
+    from kreiswerk.sources import gazetteer_files as files
+
+    many = "|".join(f"alias{i}" for i in range(12))
+    lines = spark.createDataFrame([(f"A;{many};X;5;50.0;10.0", 0), ("B;;X;many;50;10", 1), ("short;x", 2)], "line string, line_no bigint")
+    assert [(r.name, len(r.aliases)) for r in files.parse_places(lines).collect()] == [("A", 12)]
+    assert sorted(r.line_no for r in files.unread_places(lines).collect()) == [1, 2]

@@ -174,3 +174,44 @@ def test_stream_ingest(spark, tmp_path, inputs):
     assert titles["page"] == ("B", T3) and titles["cal"] == ("Rust Treff", T1)
     go()
     assert target.events.version() == 2
+
+
+def test_pass_does_not_depend_on_the_cut(spark, tmp_path, inputs):
+    """Index, month and event page of one sitemap: together, and each in a pass of its own."""
+    registry, rules, keys, postal = inputs
+    rows = landed(spark, T1).filter("source_id = 'map'").collect()
+    rows = [r for r in rows if "2020" not in r.url and "presents-no" not in r.url]
+    assert len(rows) == 3
+    found = []
+    for name, cut in (("one", [rows]), ("three", [[r] for r in rows])):
+        target = store.EventStore(spark, str(tmp_path / name), buckets=2)
+        for part in cut:
+            plan.ingest(target, registry, spark.createDataFrame(part, crawl.CRAWL_SCHEMA), rules, keys, postal, T1)
+        found.append(sorted(r.source_event_id for r in target.events.read().collect()))
+    assert found[0] == found[1] == ["google-gdg-x-presents-a"]
+
+
+def test_unchanged_after_good_in_one_batch(spark, tmp_path, inputs):
+    registry, rules, keys, postal = inputs
+    target = store.EventStore(spark, str(tmp_path), buckets=2)
+    page = state_page("A", "2026-02-01T18:00:00+01:00")
+    both = landed(spark, T1, page=page).unionByName(landed(spark, T2, page=304)).filter("source_id = 'page'")
+    runs = plan.ingest(target, registry, both, rules, keys, postal, T2).filter("source_id = 'page'")
+    assert [(r.event_count, r.error) for r in runs.collect()] == [(1, None)]
+    again = plan.ingest(target, registry, landed(spark, T3, page=304).filter("source_id = 'page'"), rules, keys, postal, T3)
+    assert [(r.event_count, r.error) for r in again.filter("source_id = 'page'").collect()] == [(1, None)]
+
+
+def test_odd_entry_and_failing_geocoder(spark, tmp_path, inputs):
+    registry, rules, keys, postal = inputs
+    target = store.EventStore(spark, str(tmp_path), buckets=2)
+    odd = "BEGIN:VEVENT\nUID:o\nDTSTART:20260301T100000Z\nRRULE:FREQ=HOURLY\nSUMMARY:x\nEND:VEVENT\nEND:VCALENDAR"
+    crawl_rows = landed(spark, T1, cal=CALENDAR.replace("END:VCALENDAR", odd)).filter("source_id = 'cal'")
+
+    def broken(queries):
+        raise RuntimeError("down")
+
+    with pytest.warns(UserWarning, match="geocoder failed"):
+        runs = plan.ingest(target, registry, crawl_rows, rules, keys, postal, T1, geocoder=broken)
+    assert [(r.event_count, r.error) for r in runs.filter("source_id = 'cal'").collect()] == [(1, None)]
+    assert [(r.source_event_id[:1], r.location_precision) for r in target.events.read().collect()] == [("c", "City")]
