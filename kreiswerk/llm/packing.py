@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable
@@ -9,7 +11,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,19 @@ ROWS_PER_BUCKET = 50_000
 
 # Words of these characters are split as the tokenizer splits them: all are their own NFC form and
 # their own lower case but for plain letters, and none is white space or a control character.
-_PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xFF]+")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PLAIN = re.compile(r"[\x21-\x7E\xA1-\xFF]+")
+_LETTERS, _NUMBERS = "a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF", "0-9\xB2\xB3\xB9\xBC-\xBE"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character the model has for each byte: itself if printable, else the next one from 256 on."""
+    kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in kept)
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = _byte_characters()
 
 
 class WordIds:
@@ -32,51 +44,51 @@ class WordIds:
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of its
     words, one after the other. Words repeat; their parts repeat even more, so only parts not seen
-    before are encoded, many in one call.
+    before are encoded.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.model = self.tokenizer.model
         self.words, self.old_words = {}, {}
         self.parts, self.old_parts = {}, {}
 
     def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """The ids of all words of ``texts``, and of others."""
-        needed = set().union(*texts)
         if len(self.words) > self.remembered:
             self.words, self.old_words = {}, self.words
         if len(self.parts) > self.remembered:
             self.parts, self.old_parts = {}, self.parts
-        split, whole = {}, []
-        new = needed.difference(self.words)
-        known = new.intersection(self.old_words)
-        self.words.update((w, self.old_words[w]) for w in known)
-        for word in new.difference(known):
+        words, old_words, whole = self.words, self.old_words, []
+        for word in set().union(*texts).difference(words):
+            if word in old_words:
+                words[word] = old_words[word]
+                continue
             text = word.decode()
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                split[word] = _PARTS.findall(text.lower())
+            if word.isalpha():
+                words[word] = self._part(text.lower())
+            elif _PLAIN.fullmatch(text) and "<|" not in text:
+                words[word] = b"".join(map(self._part, _PARTS.findall(text.lower())))
             else:
                 whole.append(word)
-        parts = set().union(*split.values()).difference(self.parts)
-        known = parts.intersection(self.old_parts)
-        self.parts.update((p, self.old_parts[p]) for p in known)
-        parts = list(parts.difference(known))
-        for i in range(0, len(parts), 1000):
-            self._encode(parts[i : i + 1000])
-        for word, ps in split.items():
-            self.words[word] = self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
         found = self.tokenizer.encode_batch([w.decode() for w in whole], add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(whole, found, strict=True))
-        return self.words
-
-    def _encode(self, parts: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-        cuts = np.searchsorted(of, np.arange(len(parts) + 1))
-        for part, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
-            self.parts[part] = ids[a:b].tobytes()
+        words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(whole, found, strict=True))
+        return words
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.old_parts.get(part) or self._encode(part)
+            self.parts[part] = ids
+        return ids
+
+    def _encode(self, part: str) -> bytes:
+        """Ids of a part, straight from the model: nothing is left to normalize or split."""
+        characters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+        ids = [token.id for token in self.model.tokenize(characters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
