@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .fixed_values import DESKTOP_ZONES
 from .text import col, fold
 
 @lru_cache(maxsize=1)
@@ -28,6 +29,13 @@ def safe_zone(zone: Column | str) -> Column:
     return F.when(usual, zone).when(known, zone).otherwise(F.lit("UTC"))
 
 
+def zone_id(name: Column | str) -> Column:
+    """The id behind a zone name of a desktop calendar; any other name stays."""
+    name = col(name)
+    ids = F.create_map(*[F.lit(text) for pair in DESKTOP_ZONES.items() for text in pair])
+    return F.when(name.endswith(" Time") | name.endswith(")"), F.coalesce(F.try_element_at(ids, name), name)).otherwise(name)
+
+
 def default_zone(zone: Column | str) -> Column:
     """Stored zone of an event: UTC when the source names none."""
     return F.coalesce(F.nullif(col(zone), F.lit("")), F.lit("UTC"))

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_through
+
 # A side is broadcast only after it was counted and found within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Rows of one key that a single task may receive, and how many keys are looked at for salting.
-# A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of the rows.
+# Rows of one key that a single task may receive. Every key above it is cut, and there are at most
+# 1/ROWS_PER_TASK as many such keys as rows: 50 000 in a table of 10^11.
 ROWS_PER_TASK = 2_000_000
-HOT_KEYS = 1000
 
 # Row pairs of one key that a single task may build in a many-to-many join, and the side length of
 # the blocks a heavier key is cut into.
@@ -23,9 +24,9 @@ BLOCK_ROWS = 4000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure ``df``, reading at most ``max_rows + 1`` rows."""
+    """Measure ``df`` in one pass; every task sends no more than its count and its bytes."""
     width = F.length(F.to_json(F.struct(F.lit(0), *[df[c] for c in df.columns])))
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
     return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
@@ -65,7 +66,7 @@ def salted_join(
     """
     on = list(on)
     _check_types(rows, other, on)
-    hot = hot_keys(rows, on, rows_per_task, counts)
+    hot = F.broadcast(hot_keys(rows, on, rows_per_task, counts))
     piece = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.coalesce("_pieces", F.lit(1)))
     left = _with_hot(rows, hot, on).withColumn("_piece", piece.cast("int")).drop("_pieces")
     pieces = F.sequence(F.lit(0), (F.coalesce("_pieces", F.lit(1)) - 1).cast("int"))
@@ -87,9 +88,9 @@ def balanced_join(
 
     A key that would build more than ``pairs_per_task`` pairs is laid out as a grid: the rows of
     either side are hashed (by ``left_by`` and ``right_by``) into blocks of about ``block_rows``
-    and every block meets every block of the other side in its own task. The HOT_KEYS heaviest keys
-    are looked at; any other key builds less than 1/HOT_KEYS of all pairs. ``left_bound``, a number
-    no key has more left rows than, spares counting a left side that is expensive to compute.
+    and every block meets every block of the other side in its own task. All such keys are written
+    once, as a hash and two numbers each, and broadcast if there are few enough. ``left_bound``, a
+    number no key has more left rows than, spares counting a left side that is expensive to compute.
     """
     on = list(on)
     _check_types(left, right, on)
@@ -98,12 +99,10 @@ def balanced_join(
     load = load.withColumn("_l", left_bound) if left_bound is not None else load.join(count(left, "_l"), "_hot")
     load = load.withColumn("_pairs", F.col("_l") * F.col("_r"))
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
-    hot = (
-        load.orderBy(F.desc("_pairs"), "_hot")
-        .limit(HOT_KEYS)
-        .filter(F.col("_pairs") > pairs_per_task)
-        .select("_hot", blocks("_l").alias("_lb"), blocks("_r").alias("_rb"))
-    )
+    heavy = load.filter(F.col("_pairs") > pairs_per_task)
+    hot = write_through(heavy.select("_hot", blocks("_l").alias("_lb"), blocks("_r").alias("_rb")), "heavy")
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
     one = F.lit(1)
     own = lambda by, n: F.pmod(F.xxhash64(*by), F.coalesce(n, one)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
@@ -115,10 +114,10 @@ def balanced_join(
 def hot_keys(
     rows: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, counts: DataFrame | None = None
 ) -> DataFrame:
-    """Hashes of the most frequent keys and the number of pieces to cut each into.
+    """Hashes of all keys with more than ``rows_per_task`` rows and the number of pieces to cut each into.
 
-    At most HOT_KEYS rows of two numbers, however long the keys are. Keys with the same hash are
-    cut alike, which both sides of a join see in the same way.
+    Two numbers a key, however long the keys are. Keys with the same hash are cut alike, which both
+    sides of a join see in the same way.
     """
     counts = (
         rows.groupBy(_key_hash(on)).agg(F.count(F.lit(1)).alias("_rows"))
@@ -126,8 +125,7 @@ def hot_keys(
         else counts.select(_key_hash(on), "_rows")
     )
     pieces = F.ceil(F.max("_rows") / rows_per_task).cast("int").alias("_pieces")
-    top = counts.orderBy(F.desc("_rows"), "_hot").limit(HOT_KEYS).filter(F.col("_rows") > rows_per_task)
-    return top.groupBy("_hot").agg(pieces)
+    return counts.filter(F.col("_rows") > rows_per_task).groupBy("_hot").agg(pieces)
 
 
 def key_counts(rows: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -139,7 +137,7 @@ def _key_hash(on: Sequence[str]) -> Column:
 
 
 def _with_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.withColumn("_hot", _key_hash(on)).join(F.broadcast(hot), "_hot", "left").drop("_hot")
+    return df.withColumn("_hot", _key_hash(on)).join(hot, "_hot", "left").drop("_hot")
 
 
 def _check_types(left: DataFrame, right: DataFrame, on: Sequence[str]) -> None:

@@ -1,7 +1,8 @@
 """Expansion of calendar recurrence rules into wall-clock starts, one row at a time in the JVM.
 
 Supported: FREQ=DAILY, WEEKLY, MONTHLY or YEARLY with INTERVAL, COUNT, UNTIL, WKST, BYDAY (with
-ordinals for monthly rules), BYMONTHDAY and BYMONTH. Other parts are reported by ``rule_problem``.
+ordinals within a month), BYMONTHDAY, BYMONTH and, for months and years, BYSETPOS. Other parts are
+reported by ``rule_problem``.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import col, let
 from ..functions.times import safe_zone
 
-_PARTS = r"(?:FREQ|INTERVAL|COUNT|UNTIL|WKST|BYDAY|BYMONTHDAY|BYMONTH)"
+_PARTS = r"(?:FREQ|INTERVAL|COUNT|UNTIL|WKST|BYDAY|BYMONTHDAY|BYMONTH|BYSETPOS)"
 _DAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
 _FAR = 10_000_000
 _NO_DAYS = lambda: F.array().cast("array<date>")
@@ -27,12 +28,13 @@ def rule_problem(rule: Column | str) -> Column:
         .when(~F.coalesce(freq.isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"), F.lit(False)), F.lit("unsupported frequency"))
         .when(~rule.rlike(rf"^(?:{_PARTS}=[^;=]+;?)+$"), F.lit("unsupported rule part"))
         .when(
-            (freq != "MONTHLY") & F.coalesce(_part(rule, "BYDAY").rlike("[0-9]"), F.lit(False)),
-            F.lit("ordinal weekday outside a monthly rule"),
+            F.coalesce(_part(rule, "BYDAY").rlike("[0-9]"), F.lit(False))
+            & ~((freq == "MONTHLY") | ((freq == "YEARLY") & _part(rule, "BYMONTH").isNotNull())),
+            F.lit("ordinal weekday outside a month"),
         )
         .when(
-            (freq == "YEARLY") & (_part(rule, "BYDAY").isNotNull()),
-            F.lit("weekday in a yearly rule"),
+            freq.isin("DAILY", "WEEKLY") & _part(rule, "BYSETPOS").isNotNull(),
+            F.lit("set position in a daily or weekly rule"),
         )
         .cast("string")
     )
@@ -74,6 +76,7 @@ def _expand(start: Column, rule: Column, zone: Column, until: Column) -> Column:
         _list(rule, "BYDAY").alias("by_day"),
         _numbers(rule, "BYMONTHDAY").alias("by_month_day"),
         _numbers(rule, "BYMONTH").alias("by_month"),
+        _numbers(rule, "BYSETPOS").alias("by_set_pos"),
         F.coalesce(F.array_position(_strings(_DAYS), _part(rule, "WKST")) - 1, F.lit(0)).cast("int").alias("week_start"),
     )
 
@@ -117,20 +120,27 @@ def _days(r: Column, last: Column) -> Column:
         span = (F.year(last) - F.year(begin)) * 12 + F.month(last) - F.month(begin)
         months = F.transform(F.sequence(F.lit(0), span, interval), lambda i: F.add_months(begin, i))
         listed = (F.size(r["by_day"]) > 0) | (F.size(r["by_month_day"]) > 0)
-        every = lambda m: F.filter(
-            F.sequence(m, F.last_day(m)), lambda d: _on_ordinal(r, d) & _on_month_day(r, d)
+        in_month = lambda m: F.when(listed, _listed_days(r, m)).otherwise(
+            _month_days(m, F.array(F.dayofmonth(first)))
         )
-        return F.flatten(F.transform(months, lambda m: F.when(listed, every(m)).otherwise(_month_days(m, F.array(F.dayofmonth(first))))))
+        return F.flatten(F.transform(months, lambda m: _at_positions(r, in_month(m))))
 
     def yearly() -> Column:
         begin = F.trunc(first, "year")
         years = F.sequence(F.lit(0), F.year(last) - F.year(begin), interval)
-        months = F.when(F.size(r["by_month"]) > 0, r["by_month"]).otherwise(F.array(F.month(first)))
-        numbers = F.when(F.size(r["by_month_day"]) > 0, r["by_month_day"]).otherwise(F.array(F.dayofmonth(first)))
+        listed = (F.size(r["by_day"]) > 0) | (F.size(r["by_month_day"]) > 0)
+        months = (
+            F.when(F.size(r["by_month"]) > 0, F.array_sort(F.array_distinct(r["by_month"])))
+            .when(listed, F.sequence(F.lit(1), F.lit(12)))
+            .otherwise(F.array(F.month(first)))
+        )
+        in_month = lambda m: F.when(listed, _listed_days(r, m)).otherwise(
+            _month_days(m, F.array(F.dayofmonth(first)))
+        )
         in_year = lambda y: F.flatten(
-            F.transform(months, lambda m: _month_days(F.add_months(begin, y * 12 + m - 1), numbers))
+            F.transform(months, lambda m: in_month(F.add_months(begin, y * 12 + m - 1)))
         )
-        return F.flatten(F.transform(years, in_year))
+        return F.flatten(F.transform(years, lambda y: _at_positions(r, in_year(y))))
 
     return (
         F.when(r["freq"] == "DAILY", daily())
@@ -147,6 +157,18 @@ def _month_days(month: Column, numbers: Column) -> Column:
     return F.transform(F.filter(positive, lambda n: n.between(1, length)), lambda n: F.date_add(month, n - 1))
 
 
+def _listed_days(r: Column, month: Column) -> Column:
+    """Days of a month on the listed weekdays and of the listed numbers, ascending."""
+    return F.filter(F.sequence(month, F.last_day(month)), lambda d: _on_ordinal(r, d) & _on_month_day(r, d))
+
+
+def _at_positions(r: Column, days: Column) -> Column:
+    """The days of one month or year at the listed positions, negative ones from the end; all without any."""
+    places = F.filter(r["by_set_pos"], lambda p: p != 0)
+    taken = F.array_compact(F.transform(places, lambda p: F.try_element_at(days, p)))
+    return F.when(F.size(r["by_set_pos"]) == 0, days).otherwise(taken)
+
+
 def _on_weekday(r: Column, day: Column) -> Column:
     return _listed(r["by_day"], F.element_at(_strings(_DAYS), F.weekday(day) + 1))
 

@@ -1,8 +1,12 @@
 """Versioned parquet tables in buckets: a merge rewrites only the buckets it touches.
 
 Layout under the table path: ``data/<commit>/bucket=<n>/*.parquet`` and ``manifest/v=<n>/*.json``
-with the commit each bucket is read from. Nothing that a reader may be using is ever overwritten; a
-version becomes visible when its manifest file is in place.
+with the data folder each bucket is read from. Nothing that a reader may be using is ever
+overwritten; a version becomes visible when its manifest is in place.
+
+A table has one writer at a time; the caller sees to that. A merge fails if the folder of its version
+exists. If no other merge is running, that folder is what a killed driver left: it holds no finished
+manifest and may be deleted. So may data folders that the newest manifest does not name.
 """
 
 from __future__ import annotations
@@ -14,11 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MANIFEST = "v int, commit string, bucket int, data string"
-
-
-class ConcurrentMerge(RuntimeError):
-    """Another merge took the same version first; run the merge again."""
+_MANIFEST = "bucket int, data string"
 
 
 class BucketTable:
@@ -29,12 +29,20 @@ class BucketTable:
         self.bucket_by, self.buckets = list(bucket_by), buckets
 
     def version(self) -> int:
-        """Newest version, 0 for a table without any."""
-        return max((row.v for row in self._manifest()), default=0)
+        """Newest version, 0 for a table without any; the manifests are listed, not read."""
+        try:
+            manifests = self.spark.read.format("binaryFile").load(f"{self.path}/manifest")
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return 0
+            raise
+        if "v" not in manifests.columns:  # no manifest is finished yet
+            return 0
+        return manifests.agg(F.max("v")).first()[0] or 0
 
     def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
         """Rows of the newest version, of the given buckets only if any are named."""
-        wanted = [r for r in self._manifest() if buckets is None or r.bucket in set(buckets)]
+        wanted = [r for r in self._manifest(self.version()) if buckets is None or r.bucket in set(buckets)]
         if not wanted:
             return self.spark.createDataFrame([], self.schema)
         paths = [f"{self.path}/data/{r.data}/bucket={r.bucket}" for r in wanted]
@@ -45,8 +53,8 @@ class BucketTable:
 
         ``batch`` is read twice, so it should be a written table.
         """
-        rows = self._manifest()
-        version = max((r.v for r in rows), default=0) + 1
+        version = self.version()
+        rows = self._manifest(version)
         touched = [r[0] for r in batch.select(self._bucket()).distinct().collect()]
         commit = uuid.uuid4().hex
         if touched:
@@ -54,28 +62,18 @@ class BucketTable:
             balanced = merged.hint("rebalance", "bucket")
             balanced.write.partitionBy("bucket").parquet(f"{self.path}/data/{commit}")
         places = {r.bucket: r.data for r in rows} | dict.fromkeys(touched, commit)
-        manifest = [(version, commit, bucket, data) for bucket, data in sorted(places.items())]
-        frame = self.spark.createDataFrame(manifest, _MANIFEST).coalesce(1)
-        frame.write.mode("append").partitionBy("v").json(f"{self.path}/manifest")
-        if any(r.commit != commit for r in self._manifest()):
-            raise ConcurrentMerge(f"version {version} of {self.path}")
-        return version
+        frame = self.spark.createDataFrame(sorted(places.items()), _MANIFEST).coalesce(1)
+        frame.write.mode("errorifexists").json(f"{self.path}/manifest/v={version + 1}")
+        return version + 1
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def _manifest(self) -> list:
-        """Rows of the newest version; of two merges with one number the lower commit counts."""
-        try:
-            frame = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest")
-        except AnalysisException as problem:
-            if problem.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
-        newest = frame.agg(F.max("v")).first()[0]
-        rows = frame.filter(F.col("v") == newest).collect() if newest is not None else []
-        first = min((r.commit for r in rows), default=None)
-        return [r for r in rows if r.commit == first]
+    def _manifest(self, version: int) -> list:
+        """Buckets of a version and the folders they are read from."""
+        if version == 0:
+            return []
+        return self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/v={version}").collect()
 
 
 class AppendTable:

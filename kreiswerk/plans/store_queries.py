@@ -10,6 +10,7 @@ from ..functions.times import dedupe_key
 from ..functions.urls import event_id
 from ..operators import dedupe, health, store
 from ..operators.gazetteer import place_keys, postal_lookup
+from ..session import new_folder, write_through
 from ..sources import registry as reg
 from .catalog import fold_sql, joined, local_day_sql, query, time_sql, time_text
 from .fixtures import table, view
@@ -103,6 +104,23 @@ def upsert_result(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    f""", {_EVENTS}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, dedupe_key ORDER BY seen, feed_pos) AS rn FROM stored WHERE {_OLD}) WHERE rn = 1),
+second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, dedupe_key ORDER BY seen, feed_pos) AS rn FROM stored WHERE {_NEW} AND source_id NOT IN (SELECT source_id FROM stored WHERE feed_pos % 1501 = 7)) WHERE rn = 1)
+SELECT coalesce(o.id, n.id) AS id, cast(CASE WHEN o.id IS NULL THEN 2 ELSE 1 END AS integer) AS first_seen, cast(CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS integer) AS last_seen
+FROM first o FULL JOIN second n ON o.id = n.id""",
+    "fx_raw_event",
+)
+def store_after_two_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches merged into a written store; sources that failed in the second keep their events."""
+    every = write_through(events(spark, sf), "events")
+    kept = store.EventStore(spark, new_folder(spark, "store"), buckets=8)
+    kept.upsert_events(every.filter(_OLD), every.limit(0).selectExpr("source_id", "'' AS error"), "2024-02-01")
+    kept.upsert_events(every.filter(_NEW), every.filter("feed_pos % 1501 = 7").selectExpr("source_id", "'' AS error"), "2024-03-01")
+    month = lambda name: (F.month(name) - 1).cast("int")
+    return kept.events.read().select("id", month("first_seen_utc").alias("first_seen"), month("last_seen_utc").alias("last_seen"))
+
+
 @query(f", {_EVENTS} SELECT id FROM stored WHERE source_id NOT IN (SELECT source_id FROM stored WHERE feed_pos % 1501 = 7)", "fx_raw_event")
 def successful_sources(spark: SparkSession, sf: str) -> DataFrame:
     every = events(spark, sf)

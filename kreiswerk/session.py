@@ -38,10 +38,15 @@ def write_through(df: DataFrame, label: str) -> DataFrame:
     single time, later reads prune columns, and a lost executor costs a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{_folder_once(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no one else uses."""
+    return f"{_folder_once(spark)}/tables/{label}-{uuid.uuid4().hex}"
+
+
 def _folder_once(spark: SparkSession) -> str:
     return spark.conf.get("kreiswerk.local.folder", None) or work_folder(spark)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..functions.times import instant, safe_zone
+from ..functions.times import instant, safe_zone, zone_id
 from ..functions.urls import occurrence_id
 from ..operators.recurrence import occurrence_starts, rule_problem
 from ..operators.rows import computed
@@ -180,7 +180,7 @@ def _stamp(name: str) -> Column:
         lambda v: F.struct(
             _wall(v["value"]).alias("wall"),
             F.when(F.regexp_extract(v["value"], _STAMP, 3) == "Z", F.lit("UTC"))
-            .otherwise(F.nullif(v["zone"], F.lit("")))
+            .otherwise(zone_id(F.nullif(v["zone"], F.lit(""))))
             .alias("zone"),
             (~v["value"].contains("T")).alias("whole_day"),
         ),
@@ -201,7 +201,7 @@ def _stamps(name: str, zone: Column) -> Column:
     entry_zone = F.coalesce(zone, F.lit("UTC"))
 
     def stamp(value: Column, tzid: Column) -> Column:
-        own = F.when(value.rlike("^[0-9]{8}T[0-9]{6}Z"), F.lit("UTC")).when(tzid != "", safe_zone(tzid))
+        own = F.when(value.rlike("^[0-9]{8}T[0-9]{6}Z"), F.lit("UTC")).when(tzid != "", safe_zone(zone_id(tzid)))
         moved = F.from_utc_timestamp(F.to_utc_timestamp(_wall(value).cast("timestamp"), own), entry_zone)
         return F.when(own.isNull(), _wall(value)).otherwise(moved.cast("timestamp_ntz"))
 

@@ -44,6 +44,11 @@ def test_hot_rows_are_spread(spark):
     assert [r._pieces for r in hot] == [10]
 
 
+def test_every_hot_key_is_cut(spark):
+    rows = spark.range(6000).select("id", (F.col("id") % 1500).alias("k"))
+    assert joins.hot_keys(rows, ["k"], rows_per_task=2).filter("_pieces = 2").count() == 1500
+
+
 @pytest.mark.parametrize("bounded", [False, True])
 def test_balanced_join_equals_join(spark, bounded):
     left = spark.range(200).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5).alias("k"))
@@ -57,6 +62,7 @@ def test_balanced_join_equals_join(spark, bounded):
 def test_fits_broadcast(spark):
     assert joins.fits_broadcast(spark.range(10))
     assert not joins.fits_broadcast(spark.range(10), max_rows=9)
+    assert joins.fits_broadcast(spark.range(10).filter("id < 0"))
     assert not joins.fits_broadcast(spark.range(10).select(F.repeat(F.lit("x"), 100).alias("x")), max_bytes=500)
 
 

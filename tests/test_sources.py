@@ -124,6 +124,13 @@ RULES = {
     ("20250301T100000", "FREQ=YEARLY;COUNT=5"): ["260301 0900"],
     ("20260105T100000", "FREQ=WEEKLY;BYMONTH=2;BYDAY=MO;UNTIL=20260210"): ["260202 0900", "260209 0900"],
     ("20251229T100000", "FREQ=WEEKLY;COUNT=2"): ["260105 0900"],
+    ("20260105T100000", "FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1;COUNT=3"): ["260105 0900", "260202 0900", "260302 0900"],
+    ("20260130T100000", "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1;COUNT=3"): ["260130 0900", "260227 0900", "260331 0800"],
+    ("20260112T100000", "FREQ=MONTHLY;BYDAY=MO,TH;BYSETPOS=2,-1;COUNT=3"): ["260129 0900", "260205 0900", "260226 0900"],
+    ("20260101T100000", "FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU;COUNT=1"): ["260329 0800"],
+    ("20260101T100000", "FREQ=YEARLY;BYMONTH=2,6;BYDAY=1MO;COUNT=2"): ["260202 0900", "260601 0800"],
+    ("20260101T100000", "FREQ=YEARLY;BYDAY=SA;BYSETPOS=-1;COUNT=1"): ["261226 0900"],
+    ("20260101T100000", "FREQ=YEARLY;BYMONTHDAY=15;COUNT=2"): ["260115 0900", "260215 0900"],
 }
 
 
@@ -142,8 +149,13 @@ def test_exclusions_count_and_extra_dates(spark):
     assert got == ["260105 0900", "260107 0900", "260110 0900", "260111 0900"]
 
 
+def test_desktop_zone_names(spark):
+    got, _ = starts(spark, "DTSTART;TZID=W. Europe Standard Time:20260105T100000", "RRULE:FREQ=DAILY;COUNT=3", 'EXDATE;TZID="Eastern Standard Time":20260106T040000')
+    assert got == ["260105 0900", "260107 0900"]
+
+
 def test_unsupported_rules_are_reported(spark):
-    for rule in ("FREQ=HOURLY", "FREQ=MONTHLY;BYDAY=MO;BYSETPOS=1", "FREQ=YEARLY;BYDAY=1MO", "COUNT=3"):
+    for rule in ("FREQ=HOURLY", "FREQ=WEEKLY;BYDAY=MO;BYSETPOS=1", "FREQ=YEARLY;BYDAY=1MO", "COUNT=3"):
         got, errors = starts(spark, BERLIN + "20260105T100000", "RRULE:" + rule)
         assert got == [] and len(errors) == 1 and errors[0].startswith("entry u: ")
 
