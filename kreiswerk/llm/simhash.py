@@ -1,9 +1,9 @@
-"""SimHash near-dedup: fingerprints, candidate search with pivot distance tables, components."""
+"""Near-dedup: SimHash fingerprints with pivot distance tables, and shingle sets found by MinHash; components."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -17,7 +17,14 @@ from .work import cut, one_of, per_slice, raw_bytes
 
 SEED = 42
 PIVOTS = 8
-FEWEST_TABLES = 24
+# MinHash bands of a shingle set and hashes of a band: two sets of Jaccard s agree on one with odds
+# 1 - (1 - s^8)^40, 0.9994 at 0.8, however many rows there are.
+MIN_BANDS, BAND_HASHES = 40, 8
+# So many standard deviations under the similarity may the share of equal MinHashes lie before a
+# pair is not compared: one pair in ten millions at the similarity is lost by it.
+SLACK = 5.4
+_BY, _PLUS = np.random.default_rng(SEED + 2).integers(0, 2**32, (2, MIN_BANDS * BAND_HASHES), np.uint32)
+_BY |= np.uint32(1)
 # Fingerprints of one bucket that meet in one task at most, and rows a task works on at a time.
 BUCKET_ROWS = 4096
 ROWS_AT_ONCE = 100_000
@@ -27,12 +34,8 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int) -> bytes:
     """The sign of the bit sums over all shingles, repeats included; without words all zero."""
     if not words:
         return bytes(8 * lanes)
-    text, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(e + 1 for e in ends[: n - 1])]
-    of = xxhash.xxh64_digest
-    digests = b"".join([of(text[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=True)])
-    first = np.frombuffer(digests, ">u8").astype(np.uint64)
+    first = _hashes(words, shingle)
+    n = len(first)
     lanes_of = [first, *(_mixed(first, lane) for lane in range(1, lanes))]
     out = []
     for hashes in lanes_of:
@@ -44,6 +47,16 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int) -> bytes:
     return b"".join(out)
 
 
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """A hash of each shingle of one word or more, repeats included."""
+    text, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
+    starts = [0, *(e + 1 for e in ends[: n - 1])]
+    of = xxhash.xxh64_digest
+    digests = b"".join([of(text[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=True)])
+    return np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
 def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
     """Another 64 bits from a hash, by the finaliser of SplitMix64."""
     x = x + np.uint64((lane * 0x9E3779B97F4A7C15) % 2**64)
@@ -79,19 +92,6 @@ def exact_tables(bits: int, radius: int, rows: int) -> list[list[int]]:
     return [sum(chosen, []) for chosen in combinations(parts, blocks - radius)]
 
 
-def sampled_tables(bits: int, radius: int, rows: int, recall: float = 0.85) -> list[list[int]]:
-    """Random bit sets; two fingerprints at ``radius`` agree on one of them with odds ``recall``.
-
-    For radii that no blocks can serve. Nearer pairs are found more surely: at two thirds of the
-    radius 99 of 100. Few rows have short keys, of which there are ``FEWEST_TABLES`` nevertheless.
-    """
-    width = max(8, math.ceil(math.log2(max(2, rows))) - 2)
-    agree = (1 - radius / bits) ** width
-    count = max(FEWEST_TABLES, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
-    rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(count)]
-
-
 def near_links(prints: DataFrame, radius: int, lanes: int, tables: list[list[int]]) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect all pairs within ``radius`` that share a key.
 
@@ -125,28 +125,11 @@ def near_links(prints: DataFrame, radius: int, lanes: int, tables: list[list[int
     rows = cut(prints.mapInArrow(buckets, "bucket long, fp binary, far binary"), "simhash-keys")
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counts = cut(counts.withColumn("chunks", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")), "simhash-buckets")
-    rows = rows.join(counts.select("bucket", "chunks").hint("merge"), "bucket")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    every = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda other: F.least(own, other) * F.col("chunks") + F.greatest(own, other),
-    )
-    rows = rows.select("bucket", F.explode(every).alias("block"), "fp", "far")
-    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    rows = _dealt(rows.join(counts.select("bucket", "chunks").hint("merge"), "bucket"), "fp", ["far"])
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
-                table = pa.Table.from_batches(held).combine_chunks()
-                group = _groups(table)
-                stop = int(np.searchsorted(group, group[-1]))
-                yield forest(table.slice(0, stop), group[:stop])
-                held = table.slice(stop).to_batches()
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield forest(table, _groups(table))
+        for table, group in _whole_blocks(batches):
+            yield forest(table, group)
 
     def forest(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         if not table.num_rows:
@@ -178,6 +161,33 @@ def near_links(prints: DataFrame, radius: int, lanes: int, tables: list[list[int
     return rows.mapInArrow(links, "a binary, b binary")
 
 
+def _dealt(rows: DataFrame, node: str, more: list[str]) -> DataFrame:
+    """Rows of buckets of so many ``chunks``, sorted by bucket and block: any two chunks share a block."""
+    own = F.pmod(F.xxhash64(node), F.col("chunks")).cast("int")
+    every = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda other: F.least(own, other) * F.col("chunks") + F.greatest(own, other),
+    )
+    rows = rows.select("bucket", F.explode(every).alias("block"), node, *more)
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+
+
+def _whole_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``ROWS_AT_ONCE`` rows that cut no block, with the numbers of their blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = _groups(table)
+            stop = int(np.searchsorted(group, group[-1]))
+            yield table.slice(0, stop), group[:stop]
+            held = table.slice(stop).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _groups(table)
+
+
 def _groups(table: pa.Table) -> np.ndarray:
     """Rising numbers of the blocks of a sorted table."""
     bucket, block = table["bucket"].to_numpy(), table["block"].to_numpy()
@@ -205,7 +215,6 @@ def near_groups(
     shingle: int = 4,
     radius: int = 4,
     lanes: int = 1,
-    sampled: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -214,7 +223,7 @@ def near_groups(
     Texts are lower-cased in A to Z and cut into words at ASCII white space; their shingles of
     ``shingle`` words, or the whole of a shorter text, are hashed, and fingerprints that differ in
     ``radius`` bits or fewer are linked. ``component_id`` is the smallest id that links reach. With
-    :func:`exact_tables` no link is missed; ``sampled`` takes :func:`sampled_tables`.
+    :func:`exact_tables` no link is missed.
 
     Equal fingerprints are one vertex, however many documents have them. A null or empty text has
     the fingerprint zero, which links like any other. Repeated rows give repeated rows; null ids
@@ -224,7 +233,7 @@ def near_groups(
     rows = cut(fingerprints(docs, shingle, lanes, id_col, text_col), "simhash")
     vertices = cut(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "simhash-distinct")
     bits = 64 * lanes
-    tables = (sampled_tables if sampled else exact_tables)(bits, radius, vertices.count())
+    tables = exact_tables(bits, radius, vertices.count())
     roots = components(near_links(vertices.select("_fp"), radius, lanes, tables), "binary")
     of = vertices.join(roots, F.col("_fp") == F.col("node"), "left").select(
         "_fp", "_least", F.coalesce("root", "_fp").alias("_root")
@@ -237,23 +246,152 @@ def near_groups(
     )
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different shingles; a text without words has the empty one."""
+    return np.unique(_hashes(text.lower().split() or [b""], shingle))
+
+
+def min_hashes(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each band of MinHashes of a set, and a byte of each MinHash."""
+    low, least = hashes.astype(np.uint32), np.full(len(_BY), 2**32 - 1, np.uint32)
+    for i in range(0, len(low), 256):
+        least = np.minimum(least, (low[i : i + 256, None] * _BY + _PLUS).min(axis=0))
+    of = xxhash.xxh64_digest
+    digests = [of(band.tobytes(), i) for i, band in enumerate(least.reshape(MIN_BANDS, BAND_HASHES))]
+    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64), least.astype(np.uint8).tobytes()
+
+
+def shingle_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """id, SHA-256 of the text, digest, size, band keys and MinHash bytes of the shingle set, of every row."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = raw_bytes(batch.column(1))
+        sets = [shingle_set(t, shingle) for t in texts]
+        found = [min_hashes(x) for x in sets]
+        columns = [
+            batch.column(0),
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+            pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+            pa.array([len(x) for x in sets], pa.int32()),
+            pa.array([x for x, _ in found], pa.list_(pa.int64())),
+            pa.array([x for _, x in found], pa.binary()),
+        ]
+        return pa.record_batch(columns, names=["_id", "_sha", "v", "size", "bands", "sketch"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    schema = "_id long, _sha string, v binary, size int, bands array<long>, sketch binary"
+    return texts.mapInArrow(per_slice(rows, "_text"), schema)
+
+
+def set_links(vertices: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) that connect all ``vertices`` (v, size, bands, sketch) of ``similarity`` that share a band.
+
+    Every pair is verified by the sets themselves, which are taken again from the texts that
+    ``texts_of`` gives for a table of v. First each bucket's members meet the one that has the most
+    company in all buckets. Then only pairs are left whose ends these links do not connect, and each
+    of them is verified, so a large group of near copies gives no square of pairs. Sets whose sizes
+    alone keep them under ``similarity`` do not meet, nor in the second step sets whose MinHashes
+    are far from it.
+    """
+    hashes = MIN_BANDS * BAND_HASHES
+    fewest = hashes * similarity - SLACK * (hashes * similarity * (1 - similarity)) ** 0.5
+    keys = vertices.select(F.explode("bands").alias("bucket"), "v", "size")
+    counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = cut(keys.join(cut(counts, "near-buckets").hint("merge"), "bucket"), "near-keys")
+    company = cut(keys.groupBy("v").agg(F.sum("n").alias("company")), "near-company")
+    texts = cut(texts_of(company.select("v")), "near-texts")
+    keys = cut(keys.join(company.hint("merge"), "v"), "near-keys")
+    centres = keys.groupBy("bucket").agg(F.max(F.struct("company", "v", "size")).alias("c"))
+    stars = keys.select("bucket", "v", "size").join(cut(centres, "near-centres").hint("merge"), "bucket")
+    small, large = F.least("size", "c.size"), F.greatest("size", "c.size")
+    stars = stars.filter((F.col("v") != F.col("c.v")) & (small >= large * (similarity - 1e-9)))
+    stars = stars.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
+    tested = cut(_verified(cut(stars, "near-stars"), texts, shingle, similarity), "near-tested")
+    links = tested.filter("near").select("a", "b")
+
+    roots = components(links, "binary")
+    keys = keys.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
+    keys = cut(keys.select("bucket", "v", "size", F.coalesce("root", "v").alias("root")), "near-rooted")
+    apart = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    apart = apart.filter("x <> y").select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("chunks"))
+    keys = keys.join(cut(apart, "near-apart").hint("merge"), "bucket")
+    rows = _dealt(keys.join(vertices.select("v", "sketch").hint("merge"), "v"), "v", ["size", "root", "sketch"])
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_blocks(batches):
+            order = np.lexsort((table["size"].to_numpy(), group))
+            table, group = table.take(pa.array(order)), group[order]
+            size, v = table["size"].to_numpy(), np.array(table["v"].to_pylist(), object)
+            root = np.unique(np.array(table["root"].to_pylist(), "V16"), return_inverse=True)[1]
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(group), hashes)
+            left, lag = np.arange(len(group)), 0
+            while len(left):
+                lag += 1
+                left = left[left + lag < len(group)]
+                right = left + lag
+                left = left[(group[left] == group[right]) & (size[left] >= size[right] * (similarity - 1e-9))]
+                found = left[root[left] != root[left + lag]]
+                found = found[np.count_nonzero(sketch[found] == sketch[found + lag], axis=1) >= fewest]
+                if len(found):
+                    ends = [pa.array(v[found], pa.binary()), pa.array(v[found + lag], pa.binary())]
+                    yield pa.record_batch(ends, names=["a", "b"])
+
+    rest = rows.mapInArrow(pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(rest.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    return links.unionByName(cut(_verified(rest, texts, shingle, similarity), "near-tested").filter("near").select("a", "b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with ``near``: whether the shingle sets have a Jaccard of ``similarity``."""
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near, last, of = [], None, None
+        for a, x, y in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(2)), raw_bytes(batch.column(3)), strict=True):
+            if a != last:
+                last, of = a, shingle_set(x, shingle)
+            other = shingle_set(y, shingle)
+            both = len(np.intersect1d(of, other, assume_unique=True))
+            near.append(both / (len(of) + len(other) - both) >= similarity)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    for end in "ba":
+        pairs = pairs.join(texts.select(F.col("v").alias(end), F.col("_text").alias(f"text_{end}")).hint("merge"), end)
+    rows = pairs.select("a", "b", "text_a", "text_b")
+    return rows.mapInArrow(per_slice(compared, "text_b"), "a binary, b binary, near boolean")
+
+
 def drop_near_copies(
     docs: DataFrame,
     shingle: int = 5,
     similarity: float = 0.8,
-    lanes: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with the row of the smallest id of each near-copy group, all columns kept.
 
-    A share of equal shingles of ``similarity`` (Jaccard) is a cosine of 2 s / (1 + s) for sets of
-    one size, at which a share acos(cosine) / pi of all bits is expected to differ; that share of
-    64 bits a lane is the radius. Rows without an id stay; of rows that share an id one stays.
+    Rows are near copies when their sets of shingles (see :func:`near_groups`) have a Jaccard of
+    ``similarity`` or more; a group is what such pairs connect. Pairs are found by MinHash bands
+    and all verified by the sets, so nothing goes without a partner of that similarity. Equal sets
+    are one vertex, also those of texts without words. Rows without an id stay; of rows that share
+    an id one stays.
     """
-    bits = 64 * lanes
-    radius = round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    groups = near_groups(docs, shingle, radius, lanes, True, id_col, text_col)
-    keep = groups.filter("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
-    kept = one_of(docs.join(cut(keep, "simhash-kept").hint("merge"), id_col), id_col).select(docs.columns)
+    rows = cut(shingle_rows(docs, shingle, id_col, text_col), "near-rows")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_sha").alias("_sha"))
+    same = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
+    vertices = rows.groupBy("v").agg(*same, F.min(order).alias("least"))
+    vertices = cut(vertices, "near-vertices")
+    name = lambda id_, sha: F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("null")), sha)
+    of_text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        names = vertices.join(wanted.hint("merge"), "v").select("v", name(F.col("least._id"), F.col("least._sha")).alias("_name"))
+        texts = docs.select(name(F.col(id_col).cast("long"), of_text).alias("_name"), F.col(text_col).alias("_text"))
+        return one_of(texts.join(cut(names, "near-names").hint("merge"), "_name"), "_name").select("v", "_text")
+
+    links = set_links(vertices.select("v", "size", "bands", "sketch"), texts_of, shingle, similarity)
+    roots = components(links, "binary")
+    of = vertices.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
+    keep = of.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least"))
+    keep = keep.filter("least._id is not null").select(F.col("least._id").alias(id_col)).distinct()
+    kept = one_of(docs.join(cut(keep, "near-kept").hint("merge"), id_col), id_col).select(docs.columns)
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -501,3 +501,26 @@ def test_drop_near_copies(spark, docs, none):
     same([(r.doc_id,) for r in kept], [(i,) for i in range(40)] + [(None,)] * 2)
     assert simhash.drop_near_copies(docs).columns == docs.columns
     assert simhash.drop_near_copies(none).count() == 0
+
+
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_are_found_from_the_stated_similarity(spark):
+    ship(spark)
+    rows = []
+    for i in range(300):
+        words = prose(1000 + i, 150 + i).split()
+        # Fresh words at the end: of n shingles of each text, about 1.9 n / 17 are its own.
+        own = len(words) * (8 + i % 3) // 100
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words[:-own] + [f"w{i}x{j}" for j in range(own)]))]
+    text = dict(rows)
+    similar = [jaccard(text[i], text[1000 + i]) for i in range(300)]
+    assert all(0.8 <= s < 0.87 for s in similar)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(300))
