@@ -524,3 +524,32 @@ def test_near_copies_are_found_from_the_stated_similarity(spark):
     assert all(0.8 <= s < 0.87 for s in similar)
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(300))
+
+
+def test_nothing_goes_without_a_partner_of_the_stated_similarity(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 5)
+    rows = []
+    for i in range(60):
+        words = prose(3000 + i, 200).split()
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 9):  # 0.9 to 0.6 to the first, less to one another
+            own = 8 + 5 * k
+            rows.append((10 * i + k, " ".join(words[:-own] + [f"w{i}x{k}x{j}" for j in range(own)])))
+    passage = prose(5, 12)  # one passage many times: fingerprints of repeats agree, sets do not
+    rows += [(10_000 + i, " ".join([passage] * 30 + [prose(7000 + i, 40)])) for i in range(20)]
+    text, ids = dict(rows), [i for i, _ in rows]
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and a // 10 == b // 10 and jaccard(text[a], text[b]) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in ids if find(i) == i}
+    assert 60 < len(kept) < len(ids)
