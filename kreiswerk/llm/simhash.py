@@ -367,13 +367,14 @@ def drop_near_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with the row of the smallest id of each near-copy group, all columns kept.
+    """``docs`` with one row of each near-copy group, that of the smallest id, all columns kept.
 
     Rows are near copies when their sets of shingles (see :func:`near_groups`) have a Jaccard of
     ``similarity`` or more; a group is what such pairs connect. Pairs are found by MinHash bands
     and all verified by the sets, so nothing goes without a partner of that similarity. Equal sets
-    are one vertex, also those of texts without words. Rows without an id stay; of rows that share
-    an id one stays.
+    are one vertex, also those of texts without words. Rows are told apart by id and text: rows that
+    share an id but are no near copies all stay, rows without an id come last in their group, and of
+    repeated rows one stays.
     """
     rows = cut(shingle_rows(docs, shingle, id_col, text_col), "near-rows")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_sha").alias("_sha"))
@@ -392,6 +393,6 @@ def drop_near_copies(
     roots = components(links, "binary")
     of = vertices.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
     keep = of.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least"))
-    keep = keep.filter("least._id is not null").select(F.col("least._id").alias(id_col)).distinct()
-    kept = one_of(docs.join(cut(keep, "near-kept").hint("merge"), id_col), id_col).select(docs.columns)
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    keep = cut(keep.select(name(F.col("least._id"), F.col("least._sha")).alias("_name")), "near-kept")
+    named = docs.withColumn("_name", name(F.col(id_col).cast("long"), of_text))
+    return one_of(named.join(keep.hint("merge"), "_name"), "_name").select(docs.columns)

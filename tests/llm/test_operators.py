@@ -553,3 +553,13 @@ def test_nothing_goes_without_a_partner_of_the_stated_similarity(spark, monkeypa
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i in ids if find(i) == i}
     assert 60 < len(kept) < len(ids)
+
+
+def test_near_copies_by_id_and_text(spark):
+    ship(spark)
+    copy = lambda t: " ".join([*t.split()[:-1], "end"])
+    one, two, three = (prose(i, 150) for i in (61, 62, 63))
+    rows = [(7, one), (7, two), (9, copy(two)), (None, three), (None, copy(three)), (None, copy(one)), (7, one)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 3 and {(7, one), (7, two)} < {tuple(r) for r in kept}
+    assert [r.text in (three, copy(three)) for r in kept if r.doc_id is None] == [True]
