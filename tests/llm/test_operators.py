@@ -563,3 +563,12 @@ def test_near_copies_by_id_and_text(spark):
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == 3 and {(7, one), (7, two)} < {tuple(r) for r in kept}
     assert [r.text in (three, copy(three)) for r in kept if r.doc_id is None] == [True]
+
+
+def test_runs_that_no_alphabet_holds_are_tried_in_parts():
+    key, token = b"k3Jx9QpLm2Zt7VbN4cWd8RyS1fGh6TuA0eXo5iKq", b"Zq8Lw2Nv5Xc1Bm7Kj4Hg"
+    text = b"see my-app/" + key + b" and a_b/" + token + b"+short, api_key=abcdefgh/" + b"x" * 9 + b"=" + token
+    text += b" AKIA" + b"B7" * 8 + b"_" + token
+    runs, base = secrets._runs([text])[0], secrets.base_spans(text, text.lower())
+    tried = [text[a:b] for a, b, *_ in secrets._tried(text, runs, base)[0]]
+    assert tried == [key, token, b"_" + token]
