@@ -44,12 +44,12 @@ _LISTS = ("eventsInLocation", "todayEvents", "thisWeekendEvents")
 _GROUP_OF_EVENT = r"^https://www\.meetup\.com/([^/]+)/events/"
 
 
-def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: int = 3) -> DataFrame:
+def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: int | None = 3) -> DataFrame:
     """Candidate groups ``slug, name, city, routes`` from search and city pages.
 
     ``find_pages`` has ``page_no, route, body`` and ``city_pages`` has ``page_no, city, body``.
     Name and city come from the first page a group appears on, search pages first; ``routes`` are
-    its first routes in sorted order.
+    its first ``routes_kept`` routes in sorted order, or with None all of them.
     """
     entity, link = F.col("entity"), F.rtrim(F.col("link"), F.lit("/"))
     text = lambda path: F.coalesce(strict_string(entity, path), F.lit(""))
@@ -83,17 +83,20 @@ def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: in
     ranked = seen.select("slug", "route").distinct().withColumn(
         "n", F.row_number().over(W.partitionBy("slug").orderBy("route"))
     )
-    routes = ranked.filter(F.col("n") <= routes_kept).groupBy("slug").agg(F.sort_array(F.collect_list("route")).alias("routes"))
+    ranked = ranked if routes_kept is None else ranked.filter(F.col("n") <= routes_kept)
+    routes = ranked.groupBy("slug").agg(F.sort_array(F.collect_list("route")).alias("routes"))
     return first.join(routes, "slug").select("slug", "first.name", "first.city", "routes")
 
 
 def group_report(
-    candidates: DataFrame, pages: DataFrame, after: str, titles_kept: int = 3, title_width: int = 70
+    candidates: DataFrame, pages: DataFrame, after: str, titles_kept: int | None = 3, title_width: int | None = 70
 ) -> DataFrame:
     """Profile of each candidate whose page (``slug, body``) landed.
 
     Events later than ``after`` (ISO text) count, in page order. A page without an entity map
     counts as a reachable group without events. Everything about a page is computed inside its row.
+    ``titles`` are the first ``titles_kept`` titles, each cut at ``title_width`` characters; None keeps
+    all titles, or whole ones.
     """
     state = computed(pages, "slug", entity_map(state_script(F.col("body"))).alias("state"))
     entities = F.coalesce(F.map_entries("state"), F.array().cast("array<struct<key:string,value:variant>>"))
@@ -106,7 +109,9 @@ def group_report(
         "upcoming", lambda e: F.coalesce(strict_string(e["value"], "$.eventType").isin("PHYSICAL", "HYBRID"), F.lit(False))
     )
     cities = F.filter(F.transform(on_site, _venue_city), lambda city: F.coalesce(city, F.lit("")) != "")
-    title = lambda e: F.left(F.coalesce(strict_string(e["value"], "$.title"), F.lit("")), F.lit(title_width))
+    whole = lambda e: F.coalesce(strict_string(e["value"], "$.title"), F.lit(""))
+    title = whole if title_width is None else lambda e: F.left(whole(e), F.lit(title_width))
+    titled = F.col("upcoming") if titles_kept is None else F.slice("upcoming", 1, titles_kept)
     facts = profile.select(
         "slug",
         strict_string(F.try_element_at("state", F.concat(F.lit("Group:"), "slug")), "$.name").alias("page_name"),
@@ -114,7 +119,7 @@ def group_report(
         F.size("upcoming").alias("upcoming"),
         F.size(on_site).alias("physical"),
         F.left(strict_string(F.get("upcoming", F.lit(0))["value"], "$.dateTime"), F.lit(10)).alias("next"),
-        F.transform(F.slice("upcoming", 1, titles_kept), title).alias("titles"),
+        F.transform(titled, title).alias("titles"),
     )
     return candidates.join(facts, "slug").select(
         "slug",

@@ -127,12 +127,12 @@ def related_names(alias: Column | str, name: Column | str) -> Column:
     return let(F.struct(fold(alias).alias("a"), fold(name).alias("n")), test)
 
 
-def build_places(geonames: DataFrame, german_names: DataFrame) -> DataFrame:
-    """Places with German canonical names, up to five aliases, one row per folded name and state.
+def build_places(geonames: DataFrame, german_names: DataFrame, max_aliases: int | None = MAX_ALIASES) -> DataFrame:
+    """Places with German canonical names and aliases, one row per folded name and state.
 
     The canonical name is the preferred German one (of several, the last listed), else the first
-    German one, else the GeoNames name. The names of a place are ranked under group limits and are
-    gathered only when at most five are left.
+    German one, else the GeoNames name. The names of a place are ranked under group limits, and the
+    first ``max_aliases`` are gathered, or with None all of them.
     """
     german = german_names.select(
         "geonameid",
@@ -171,9 +171,8 @@ def build_places(geonames: DataFrame, german_names: DataFrame) -> DataFrame:
     )
     order = F.struct("rank1", "rank2")
     distinct = spelled.groupBy("line_no", "folded").agg(F.min(order).alias("rank"), F.min_by("alias", order).alias("alias"))
-    kept = distinct.withColumn("n", F.row_number().over(W.partitionBy("line_no").orderBy("rank"))).filter(
-        F.col("n") <= MAX_ALIASES
-    )
+    kept = distinct.withColumn("n", F.row_number().over(W.partitionBy("line_no").orderBy("rank")))
+    kept = kept if max_aliases is None else kept.filter(F.col("n") <= max_aliases)
     aliases = kept.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("n", "alias"))).alias("ranked"))
 
     largest = W.partitionBy("folded_name", "admin1").orderBy(F.desc("population"), "line_no")

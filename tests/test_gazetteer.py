@@ -160,3 +160,26 @@ def test_pending_geocodes_and_cache(spark):
     answers = spark.createDataFrame([("weg 1, ulm, deutschland", 200, json.dumps({"features": [HOUSE]}))], "query string, http_status int, body string")
     entry = geocode.apply_answers(cache, answers, "2026-01-01").first()
     assert entry.found and entry.precision == "Address" and entry.lat == 48.77
+
+
+def test_limits_of_lists_accept_none(spark):
+    from kreiswerk.operators import discover
+
+    line = lambda *f: "\t".join(map(str, f))
+    listed = ",".join(f"Ulm {c}{c}" for c in "abcdefgh")
+    lines = lambda rows: spark.createDataFrame([(r, i) for i, r in enumerate(rows)], "line string, line_no bigint")
+    dump = lines([line(3, "Ulm", "Ulm", listed, 48, 9, "P", "", "", "", "02", "", "", "", 5)])
+    german = files.parse_alternate_names(lines([line(9, 3, "de", "Ulm", "1")]))
+    sizes = [len(gazetteer.build_places(files.parse_geonames(dump), german, **m).first().aliases) for m in ({}, {"max_aliases": None})]
+    assert sizes == [5, 8]
+    state = {"Group:1": {"link": "https://www.meetup.com/g/", "name": "G", "city": "Ulm"}}
+    state |= {f"Event:{i}": {"title": "t" * 90, "dateTime": "2025-01-01T10:00"} for i in range(5)}
+    script = json.dumps({"props": {"pageProps": {"__APOLLO_STATE__": state}}})
+    body = f'<script id="__NEXT_DATA__" type="application/json">{script}</script>'
+    pages = spark.createDataFrame([(i, f"r{i}", body) for i in range(5)], "page_no bigint, route string, body string")
+    cities = spark.createDataFrame([], "page_no bigint, city string, body string")
+    landed = spark.createDataFrame([("g", body)], "slug string, body string")
+    for kept, n, width in (({}, 3, 70), ({"titles_kept": None, "title_width": None}, 5, 90)):
+        found = discover.harvest_groups(pages, cities, **({"routes_kept": None} if kept else {}))
+        row = discover.group_report(found, landed, "2024-01-01", **kept).first()
+        assert (len(row.routes), [len(t) for t in row.titles]) == (n, [width] * n)
