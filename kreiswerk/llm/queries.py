@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .class_lm import score_texts
 from .exact_dedup import radix_groups
+from .fill_middle import fill_in_middle, restored
 from .mixing import mix
 from .packing import best_fit, token_pieces
+from .prefix_trie import KEY, end_digests, no_ends, numbered_turns, prefix_trie, with_shared_heads
 from .quality import judge, train
 from .registry import query
 from .secrets import find_secrets
@@ -134,3 +136,92 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy component of every document."""
     return near_groups(documents(spark, sf_dir))
+
+
+_CRC_BYTES = "list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i::int, 1))::bigint)"
+
+
+def _crc32_sql(bits: int = 8) -> str:
+    """SQL for the CRC-32 of the decimal form of ``c``, bit by bit."""
+    return f"""xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, {_CRC_BYTES}), lambda a, b:
+        list_reduce(list_prepend(xor(a, b), list_transform(range({bits}), lambda i: 0::bigint)),
+            lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(f"""
+    with o as (
+        select conv_id as c, coalesce(text, '') as t, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) as h,
+            row_number() over (partition by conv_id order by turn nulls first,
+                sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+        from conversations where conv_id is not null
+    ),
+    v as (select c, c - c % 20 as base, {_crc32_sql()} % 4 as head from (select distinct c from o)),
+    w as (select v.*, least(head, (select count(*) from o where o.c = v.base)) as taken from v),
+    r as (
+        select w.c, o.pos as d, o.h, o.t from w join o on o.c = w.base and o.pos <= w.head
+        union all
+        select w.c, o.pos - w.head + w.taken, o.h, o.t from w join o on o.c = w.c and o.pos > w.head
+    ),
+    p as (
+        select c, d, string_agg(h, '') over (partition by c order by d rows unbounded preceding) as k,
+            len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as words
+        from r
+        union all select c, 0, '', 0 from w
+    ),
+    e as (select c, max(d) as length, max_by(k, d) as k from p group by c),
+    n as (select d, k, min(c) as conv_id, count(*) as n_convs, any_value(words) as words from p group by d, k),
+    x as (
+        select n.*, (select count(*) from n as m where m.d = n.d + 1 and starts_with(m.k, n.k)) as n_children,
+            (select string_agg(e.c::varchar, ',' order by e.c) from e where e.k = n.k) as ends
+        from n
+    )
+    select a.conv_id, a.d::bigint as depth, any_value(u.conv_id) as parent_conv_id, any_value(a.n_convs)::bigint as n_convs,
+        any_value(a.n_children)::bigint as n_children, count(*) filter (b.n_children = 0)::bigint as n_leaves,
+        sum((b.n_convs - 1) * b.words)::bigint as saved_tokens, sha256(coalesce(any_value(a.ends), '')) as ends_sha256
+    from x as a join x as b on b.d >= a.d and starts_with(b.k, a.k)
+    left join n as u on u.d = a.d - 1 and starts_with(a.k, u.k)
+    group by a.conv_id, a.d
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, rebuilt with shared heads."""
+    turns, convs = with_shared_heads(*numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    nodes, ends = prefix_trie(turns, convs)
+    rows = nodes.join(end_digests(ends).hint("merge"), KEY, "left")
+    rows = rows.withColumn("ends_sha256", F.coalesce("ends_sha256", no_ends()))
+    return rows.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+@query("""
+    with d as (
+        select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as g from documents
+    ),
+    u as (
+        select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as l,
+            list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(g, i::int, 8))::bigint) as h
+        from d
+    ),
+    f as (
+        select doc_id, t, l, len(l) as n, case
+            when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100 then 'plain'
+            when h[4] % 100 < 50 then 'spm' else 'psm' end as form,
+            least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) as a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) as b
+        from u
+    ),
+    c as (
+        select *, array_to_string(l[1:a], '') as x, array_to_string(l[a + 1:b], '') as y, array_to_string(l[b + 1:], '') as z
+        from f
+    )
+    select doc_id, n::bigint as n, form,
+        case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y
+            else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256,
+        sha256(t) as restored_sha256
+    from c
+""")
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, with what its output restores to."""
+    made = fill_in_middle(documents(spark, sf_dir))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(), 256)}
+    return made.withColumns(digests).drop("output")
