@@ -16,6 +16,7 @@ from .packing import best_fit, token_pieces
 from .prefix_trie import KEY, end_digests, no_ends, numbered_turns, prefix_trie, with_shared_heads
 from .quality import judge, train
 from .registry import query
+from .sanitise import find_personal
 from .secrets import find_secrets
 from .sharding import shuffle_into_shards
 from .simhash import near_groups
@@ -225,3 +226,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(documents(spark, sf_dir))
     digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(), 256)}
     return made.withColumns(digests).drop("output")
+
+
+@query()
+def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, and the terms that reveal it."""
+    found = find_personal(documents(spark, sf_dir))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
