@@ -116,7 +116,7 @@ def verify_sources(registry: DataFrame, fetches: DataFrame, events: DataFrame, e
         joined = joined.join(other, "source_id", "left")
     known = F.col("type").isin(*SOURCE_TYPES)
     cases = [
-        (~known, False, None, F.concat(F.lit("No source adapter registered for type '"), "type", F.lit("'."))),
+        (~known, False, None, F.concat(F.lit("Sources of type '"), "type", F.lit("' have no adapter."))),
         (F.col("robots").isNotNull(), True, None, F.col("robots")),
         (F.col("unregistered").isNotNull(), True, None, F.col("unregistered")),
         (F.col("bad.outcome") == "unreachable", False, None, F.col("bad.problem")),

@@ -1,14 +1,15 @@
-"""Event store: per-source upsert with last-good retention, run log, fetch and geocode caches."""
+"""Event store: per-source upsert with last-good retention, run log, fetch, parse and geocode caches."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import instant
-from ..sources.crawl import last_good, succeeded
+from ..sources.crawl import PARSED_KEY, PARSED_SCHEMA, last_good, succeeded
 from ..sources.events import EVENT_COLUMNS, EVENT_KEY, EVENT_SCHEMA
 from ..sources.geocode import CACHE_SCHEMA, newest_entries
 from .dedupe import dedupe_batch, drop_id_collisions
@@ -17,6 +18,8 @@ from .joins import lookup_join
 from .search import search_text
 from .tables import AppendTable, BucketTable
 
+# Parsed pages stay for so long after a pass last met them.
+PARSED_DAYS = 60
 _FETCH_SCHEMA = "source_id string, url string, body string, etag string, last_modified string, fetched_at timestamp"
 
 
@@ -49,20 +52,33 @@ class EventStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 256):
         self.events = BucketTable(spark, f"{path}/events", EVENT_SCHEMA, ["source_id"], buckets)
         self.fetches = BucketTable(spark, f"{path}/fetches", _FETCH_SCHEMA, ["source_id"], buckets)
+        self.parsed = BucketTable(spark, f"{path}/parsed", PARSED_SCHEMA, ["source_id"], buckets)
         self.runs = AppendTable(spark, f"{path}/runs", RUN_SCHEMA)
         self.geocodes = AppendTable(spark, f"{path}/geocodes", CACHE_SCHEMA)
 
-    def upsert_events(self, batch: DataFrame, errors: DataFrame, now: datetime | str) -> int:
-        """Merge the events of the successful sources and return the new version."""
-        return self.events.merge(only_successful(batch, errors), lambda current, new: upsert(current, new, now))
+    def upsert_events(self, batch: DataFrame, errors: DataFrame, now: datetime | str, pass_id: str | None = None) -> int:
+        """Merge the events of the successful sources and return the version."""
+        good = only_successful(batch, errors)
+        return self.events.merge(good, lambda current, new: upsert(current, new, now), pass_id)
 
-    def keep_fetches(self, crawl: DataFrame) -> int:
+    def keep_parsed(self, pages: DataFrame, now: datetime | str, pass_id: str | None = None, days: int = PARSED_DAYS) -> int:
+        """Remember parsed pages (see ``sources.crawl.PARSED_SCHEMA``); those not met for ``days`` go."""
+        newest = W.partitionBy(*PARSED_KEY).orderBy(F.desc("used_utc"))
+        oldest = F.timestamp_add("DAY", F.lit(-days), instant(now))
+
+        def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+            every = old.unionByName(new).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+            return every.filter(F.col("used_utc") >= oldest)
+
+        return self.parsed.merge(pages, combine, pass_id)
+
+    def keep_fetches(self, crawl: DataFrame, pass_id: str | None = None) -> int:
         """Remember the newest successful body of each address."""
         columns = [f.split()[0] for f in _FETCH_SCHEMA.split(", ")]
         fresh = crawl.filter(succeeded()).select(*columns)
         status = {"http_status": F.lit(200), "error": F.lit(None).cast("string")}
         return self.fetches.merge(
-            fresh, lambda old, new: last_good(old.unionByName(new).withColumns(status)).select(*columns)
+            fresh, lambda old, new: last_good(old.unionByName(new).withColumns(status)).select(*columns), pass_id
         )
 
     def geocode_cache(self) -> DataFrame:

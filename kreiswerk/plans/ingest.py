@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -21,7 +21,9 @@ from ..operators.resolve import resolve_locations
 from ..operators.store import EventStore
 from ..session import prepare, write_through
 from ..sources.calendar import calendar_events
-from ..sources.crawl import carry_forward, known_good, newest_fetches, with_unlanded
+from ..sources.crawl import (
+    PARSED_SCHEMA, carry_forward, known_good, newest_fetches, parse_pages, parsed_events, with_unlanded,
+)
 from ..sources.events import RAW_SCHEMA, raw_events
 from ..sources.geocode import apply_answers, pending_geocodes
 from ..sources.pages import extract_jsonld_events, extract_state_events
@@ -30,17 +32,40 @@ from ..sources.robots import mark_allowed
 from ..sources.sitemap import match_chapters, monthly_sitemaps, sitemap_locs
 
 
+class ParseCache:
+    """Pages parsed in earlier passes, and those of this pass, which ``used`` gathers per parser.
+
+    Parsers of pages go through it; calendars do not, as what a recurrence expands to depends on the
+    time of the pass.
+    """
+
+    def __init__(self, parsed: DataFrame, now: datetime | str):
+        self.parsed, self.now, self.used = parsed, now, []
+
+    def __call__(self, name: str, parse: PageParser, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = write_through(parse_pages(pages, self.parsed, name, parse, instant(self.now)), "parsed")
+        self.used.append(rows)
+        return parsed_events(rows)
+
+
+def parse_all(name: str, parse: PageParser, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parse every page; what an adapter does without a cache."""
+    return parse(pages)
+
+
 @dataclass(frozen=True)
 class Landed:
     """What an adapter reads: its sources, their resolved fetches, robots rules and the run time.
 
-    ``sources`` says in ``allowed`` whether robots rules admit the address of the source.
+    ``sources`` says in ``allowed`` whether robots rules admit the address of the source. ``parse``
+    applies a named page parser to pages.
     """
 
     sources: DataFrame
     fetches: DataFrame
     robots: DataFrame
     now: datetime | str
+    parse: Callable[[str, PageParser, DataFrame], tuple[DataFrame, DataFrame]] = field(default=parse_all)
 
 
 # An adapter turns landed data into raw events and errors (source_id, kind, error).
@@ -66,13 +91,13 @@ def page_adapter(parsers: Mapping[str, PageParser] = PAGE_PARSERS) -> Adapter:
     def run(landed: Landed) -> tuple[DataFrame, DataFrame]:
         pages, errors = _entry_pages(landed)
         unknown = landed.sources.filter(~F.coalesce(F.col("adapter").isin(*parsers), F.lit(False)))
-        message = F.concat(F.lit("No parser registered for adapter '"), F.coalesce("adapter", F.lit("")), F.lit("'."))
+        message = F.concat(F.lit("Pages of adapter '"), F.coalesce("adapter", F.lit("")), F.lit("' have no parser."))
         errors = errors.unionByName(
             unknown.select(F.col("id").alias("source_id"), F.lit("registry").alias("kind"), message.alias("error"))
         )
         rows = []
         for key, parse in parsers.items():
-            found, failed = parse(pages.filter(F.col("adapter") == key))
+            found, failed = landed.parse(key, parse, pages.filter(F.col("adapter") == key).drop("adapter"))
             rows.append(raw_events(found.filter(not_ended("start_utc", "end_utc", landed.now))))
             errors = errors.unionByName(_as_errors(failed, "parse"))
         return _union(rows), errors
@@ -94,7 +119,8 @@ def sitemap_adapter(landed: Landed) -> tuple[DataFrame, DataFrame]:
     requested = months.unionByName(admitted).distinct()
     failed = landed.fetches.filter("outcome <> 'ok'").join(requested, ["source_id", "url"], "left_semi")
     pages = ok.join(admitted, ["source_id", "url"], "left_semi")
-    rows = extract_jsonld_events(pages).filter(not_ended("start_utc", "end_utc", landed.now))
+    found, _ = landed.parse("json-ld", _jsonld, pages)
+    rows = found.filter(not_ended("start_utc", "end_utc", landed.now))
     errors = _union(
         [
             errors,
@@ -106,6 +132,12 @@ def sitemap_adapter(landed: Landed) -> tuple[DataFrame, DataFrame]:
     return raw_events(rows), errors
 
 
+def _jsonld(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A page without readable data is no failure of its source."""
+    none = pages.sparkSession.createDataFrame([], "source_id string, url string, error string")
+    return extract_jsonld_events(pages), none
+
+
 # Sources whose events are found by a walk over several pages.
 WALKED_TYPES = ("gdg-sitemap",)
 
@@ -143,6 +175,7 @@ def collect_raw(
     robots: DataFrame,
     now: datetime | str,
     adapters: Mapping[str, Adapter] = ADAPTERS,
+    parse: Callable[[str, PageParser, DataFrame], tuple[DataFrame, DataFrame]] = parse_all,
 ) -> tuple[DataFrame, DataFrame]:
     """Raw events and errors of all enabled sources, each type through its adapter."""
     spark = registry.sparkSession
@@ -150,7 +183,7 @@ def collect_raw(
     unknown = sources.filter(~F.col("type").isin(*adapters)).select(
         F.col("id").alias("source_id"),
         F.lit("registry").alias("kind"),
-        F.concat(F.lit("No source adapter registered for type '"), "type", F.lit("'.")).alias("error"),
+        F.concat(F.lit("Sources of type '"), "type", F.lit("' have no adapter.")).alias("error"),
     )
     rows, errors = [spark.createDataFrame([], RAW_SCHEMA)], [unknown]
     checked = mark_allowed(sources, robots)
@@ -158,7 +191,7 @@ def collect_raw(
     typed = lookup_join(fetches, types, ["source_id"], "inner", spread_by=["url"])
     for kind, adapter in adapters.items():
         own = typed.filter(F.col("source_type") == kind).drop("source_type")
-        found, failed = adapter(Landed(checked.filter(F.col("type") == kind), own, robots, now))
+        found, failed = adapter(Landed(checked.filter(F.col("type") == kind), own, robots, now, parse))
         rows.append(found)
         errors.append(failed)
     return _union(rows), _union(errors)
@@ -233,32 +266,43 @@ def ingest(
     keyword_to_tag: Mapping[str, str] = KEYWORD_TO_TAG,
     adapters: Mapping[str, Adapter] = ADAPTERS,
     geocode_cap: int | None = None,
+    pass_id: str | None = None,
 ) -> DataFrame:
     """One ingestion pass over landed crawl results; returns the run-log rows it wrote.
 
     A pass sees what earlier passes stored, so it does not matter how a crawl was cut into batches.
     Fetches are resolved once and written. A source with an error keeps what earlier passes stored. Raw events, normalised events and
-    errors are written once each, because several outputs are derived from them.
+    errors are written once each, because several outputs are derived from them. Pages whose bodies an
+    earlier pass parsed are not parsed again.
+
+    A pass with a ``pass_id`` that failed midway may be repeated with the same id as the next pass:
+    what it had finished writing is recognised and left alone, the rest is written. Repeated once
+    more, it returns its rows of the log.
     """
     prepare(registry.sparkSession)
+    if pass_id is not None and store.runs.holds(pass_id):
+        return store.runs.of_pass(pass_id)
     stored = store.fetches.read()
     walked = registry.filter(F.col("type").isin(*WALKED_TYPES)).select(F.col("id").alias("source_id"))
     landed = with_unlanded(newest_fetches(crawl), stored, walked)
     fetches = write_through(carry_forward(landed, known_good(crawl, stored)), "fetches")
-    found, failed = collect_raw(registry, fetches, robots, now, adapters)
+    cache = ParseCache(store.parsed.read(), now)
+    found, failed = collect_raw(registry, fetches, robots, now, adapters, cache)
     raw, errors = write_through(found, "raw"), write_through(failed, "errors")
-    if geocoder is not None:
+    if geocoder is not None and not (pass_id is not None and store.geocodes.holds(pass_id)):
         pending = write_through(pending_geocodes(raw, store.geocode_cache(), geocode_cap), "queries")
         try:
             answers = write_through(apply_answers(store.geocodes.read().limit(0), geocoder(pending), now), "answers")
         except Exception as failure:  # noqa: BLE001 - whatever a geocoder throws, the gazetteer stands in for it
             warnings.warn(f"geocoder failed, going on with the gazetteer: {failure}", stacklevel=2)
         else:
-            store.geocodes.append(answers)
-    cache = store.geocode_cache() if geocoder is not None else None
-    events = write_through(normalize_events(raw, registry, keys, postal, cache, now, keyword_to_tag), "events")
-    store.upsert_events(events, errors, now)
-    store.keep_fetches(crawl)
+            store.geocodes.append(answers, pass_id)
+    geocodes = store.geocode_cache() if geocoder is not None else None
+    events = write_through(normalize_events(raw, registry, keys, postal, geocodes, now, keyword_to_tag), "events")
+    store.upsert_events(events, errors, now, pass_id)
+    if cache.used:
+        store.keep_parsed(_union(cache.used), now, pass_id)
+    store.keep_fetches(crawl, pass_id)
     runs = write_through(run_outcomes(registry, events, errors, now, crawl.select("source_id")), "runs")
-    store.runs.append(runs)
+    store.runs.append(runs, pass_id)
     return runs

@@ -274,7 +274,7 @@ outcome AS (SELECT *, CASE WHEN n % 31 = 0 THEN 'type' WHEN starts_with(url, 'ht
 @query(f"""
 WITH {_VERIFIED} SELECT source_id, o NOT IN ('type', 'down') AS reachable, CASE o WHEN 'status' THEN 503 WHEN 'ok' THEN 200 END AS http_status,
   CASE WHEN o = 'ok' AND n % 17 > 2 AND CASE WHEN n % 2 = 0 THEN cast(cast(ts AS date) AS timestamp) + interval 1365 minute ELSE {_START} + interval 15 minute END >= timestamp '2024-01-15' THEN 1 ELSE 0 END AS event_count,
-  CASE o WHEN 'type' THEN 'No source adapter registered for type ''rss''.' WHEN 'robots' THEN 'robots.txt disallows fetching ' || url WHEN 'adapter' THEN 'No parser registered for adapter ''other''.'
+  CASE o WHEN 'type' THEN 'Sources of type ''rss'' have no adapter.' WHEN 'robots' THEN 'robots.txt disallows fetching ' || url WHEN 'adapter' THEN 'Pages of adapter ''other'' have no parser.'
     WHEN 'down' THEN 'Failed to reach ' || url || ': refused' WHEN 'parse' THEN CASE WHEN n % 17 = 0 THEN 'no __NEXT_DATA__ script found' ELSE '__NEXT_DATA__ has no props.pageProps.__APOLLO_STATE__' END END AS first_parse_error
 FROM outcome""")
 def source_verification(spark: SparkSession, sf: str) -> DataFrame:

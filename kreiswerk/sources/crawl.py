@@ -12,11 +12,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import salted_join
+from .events import RAW_COLUMNS, RAW_SCHEMA
 
 CRAWL_SCHEMA = (
     "source_id string, url string, http_status int, error string, body string, etag string, "
     "last_modified string, fetched_at timestamp"
 )
+# A page as a parser left it: its rows, not yet filtered by time, and its error. A page without either
+# is remembered, too.
+PARSED_SCHEMA = (
+    "parser string, source_id string, page_url string, content_hash string, "
+    f"rows array<struct<{RAW_SCHEMA.replace(' ', ': ').replace(',:', ',')}>>, error string, used_utc timestamp"
+)
+PARSED_KEY = ["parser", "source_id", "page_url", "content_hash"]
 _KEY = ["source_id", "url"]
 _CACHED = ["body", "etag", "last_modified", "fetched_at"]
 
@@ -90,6 +98,42 @@ def content_hash(body: Column | str = "body") -> Column:
     return F.sha2(F.col(body) if isinstance(body, str) else body, 256)
 
 
+def parse_pages(
+    pages: DataFrame,
+    parsed: DataFrame,
+    parser: str,
+    extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    now: Column,
+) -> DataFrame:
+    """``pages`` (source_id, url, body) as rows of ``PARSED_SCHEMA``, used ``now``.
+
+    Only bodies that ``parsed`` does not hold for this parser reach ``extract``, which returns events
+    that carry ``page_url`` and errors (source_id, url, error). The bodies of known pages end at the
+    hash, so an unchanged page costs one digest.
+    """
+    identity = PARSED_KEY[1:]
+    hashed = pages.withColumn("content_hash", content_hash()).withColumn("page_url", F.col("url"))
+    known = parsed.filter(F.col("parser") == parser).select(*identity, "rows", "error")
+    used = {"parser": F.lit(parser), "used_utc": now}
+    columns = [f.name for f in parsed.schema]
+    unchanged = known.join(hashed.select(*identity).distinct().hint("merge"), identity, "left_semi")
+    fresh = hashed.join(known.select(*identity).hint("merge"), identity, "left_anti")
+    found, failed = extract(fresh.select("source_id", "url", "body"))
+    # A page holds no more events than its body; one list per page.
+    rows = found.groupBy("source_id", "page_url").agg(F.collect_list(F.struct(*RAW_COLUMNS)).alias("rows"))
+    errors = failed.groupBy("source_id", F.col("url").alias("page_url")).agg(F.min("error").alias("error"))
+    new = fresh.select(*identity).distinct().join(rows, identity[:2], "left").join(errors, identity[:2], "left")
+    new = new.withColumn("rows", F.coalesce("rows", F.array().cast(parsed.schema["rows"].dataType)))
+    return unchanged.unionByName(new).withColumns(used).select(*columns)
+
+
+def parsed_events(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and errors (source_id, url, error) of parsed pages."""
+    rows = parsed.select(F.explode("rows").alias("row"), "page_url").select("row.*", "page_url")
+    errors = parsed.filter("error is not null").select("source_id", F.col("page_url").alias("url"), "error")
+    return rows, errors
+
+
 def reuse_parsed(
     pages: DataFrame, parsed: DataFrame, extract: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:

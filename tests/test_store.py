@@ -67,9 +67,13 @@ def test_store_versions_and_failed_source(spark, tmp_path):
 def test_empty_merge_and_a_version_that_exists(spark, tmp_path):
     table = tables.BucketTable(spark, str(tmp_path), "k string, v int", ["k"], buckets=2)
     rows = write_through(spark.createDataFrame([("a", 1)], "k string, v int"), "t")
-    table.merge(rows, lambda old, new: new)
-    table.merge(rows.limit(0), lambda old, new: new)
-    assert table.version() == 2 and table.read().collect() == [("a", 1)]
+    assert table.merge(rows.limit(0), lambda old, new: new) == 0 == table.version() and table.read().count() == 0
+    assert table.merge(rows, lambda old, new: new) == 1
+    assert table.merge(rows.limit(0), lambda old, new: new) == 1 == table.version()
+    assert table.read().collect() == [("a", 1)]
+    left = tmp_path / "manifest" / "v=2" / "_temporary"  # of a driver that was killed
+    left.mkdir(parents=True)
+    assert table.version() == 1 and table.merge(rows, lambda old, new: new) == 2
 
     def meddle(old, new):
         frame = spark.createDataFrame([(0, "none")], tables._MANIFEST).coalesce(1)
@@ -143,7 +147,7 @@ def test_ingest_run(spark, tmp_path, inputs):
     runs = {r.source_id: (r.event_count, r.error) for r in run(landed(spark, T1, page=good, cal=CALENDAR, odd="x", off=good, shut=good), T1, geocoder=geocoder).collect()}
     assert set(runs) == {"page", "cal", "map", "odd", "shut"}
     assert runs["page"] == (1, None) and runs["cal"] == (1, None) and runs["map"] == (1, None)
-    assert runs["odd"] == (0, "No parser registered for adapter 'unknown'.")
+    assert runs["odd"] == (0, "Pages of adapter 'unknown' have no parser.")
     assert runs["shut"] == (0, "robots.txt disallows fetching https://s.example/private")
     events = {r.source_id: r for r in target.events.read().collect()}
     page = events["page"]
@@ -216,3 +220,103 @@ def test_odd_entry_and_failing_geocoder(spark, tmp_path, inputs):
         runs = plan.ingest(target, registry, crawl_rows, rules, keys, postal, T1, geocoder=broken)
     assert [(r.event_count, r.error) for r in runs.filter("source_id = 'cal'").collect()] == [(1, None)]
     assert [(r.source_event_id[:1], r.location_precision) for r in target.events.read().collect()] == [("c", "City")]
+
+
+@pytest.fixture
+def light(inputs, monkeypatch):
+    """One page source and a plain normalisation: what is under test are the writes of a pass."""
+
+    def plainly(raw, *_):
+        extra = {f: F.lit(None) for f in ("location_status", "location_precision", "attendance", "tags")}
+        extra |= {"id": F.concat("source_id", "source_event_id"), "dedupe_key": F.col("title")}
+        rows = raw.withColumns({**extra, "first_seen_utc": F.lit(T1), "last_seen_utc": F.lit(T1)})
+        return rows.select(*[F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in EVENT_SCHEMA.split(", ")], "feed_pos")
+
+    monkeypatch.setattr(plan, "normalize_events", plainly)
+    registry, *rest = inputs
+    return registry.filter("id = 'page'"), *rest
+
+
+def page_of(spark, when, body):
+    return landed(spark, when, page=body).filter("source_id = 'page'")
+
+
+def contents(target):
+    events = {(r.id, r.title, r.first_seen_utc, r.last_seen_utc) for r in target.events.read().collect()}
+    logged = sorted(map(repr, target.runs.read().collect()))
+    return events, logged, target.events.version(), target.geocodes.read().count(), sorted(map(repr, target.parsed.read().drop("rows").collect()))
+
+
+def test_pass_repeated_after_each_write(spark, tmp_path, light, monkeypatch):
+    """A pass that dies right after each write in turn and is repeated leaves what one whole pass leaves."""
+    registry, rules, keys, postal = light
+    geocoder = lambda queries: queries.select(F.lit("q").alias("query"), F.lit(200).alias("http_status"), F.lit('{"features":[]}').alias("body"))
+    first = page_of(spark, T1, state_page("A", "2026-02-01T18:00:00Z"))
+    second = page_of(spark, T2, state_page("B", "2026-02-03T18:00:00Z"))
+    adapters = {"html": plan.page_adapter()}
+    run = lambda target, rows, now, name: plan.ingest(target, registry, rows, rules, keys, postal, now, geocoder=geocoder, adapters=adapters, pass_id=name)
+    whole = store.EventStore(spark, str(tmp_path / "whole"), buckets=2)
+    run(whole, first, T1, "s-0"), run(whole, second, T2, "s-1")
+    target = store.EventStore(spark, str(tmp_path / "cut"), buckets=2)
+    run(target, first, T1, "s-0")
+    for table, method, after in (("geocodes", "append", True), ("events", "merge", True), ("parsed", "merge", True), ("fetches", "merge", True), ("runs", "append", False)):
+        real = getattr(getattr(target, table), method)
+
+        def dies(*args, real=real, after=after):
+            if after:
+                real(*args)
+            raise RuntimeError("killed")
+
+        with monkeypatch.context() as patched:
+            patched.setattr(getattr(target, table), method, dies)
+            if table == "geocodes":  # a geocoder's failure alone would only warn
+                patched.setattr(getattr(target, table), method, real)
+                patched.setattr(target, "upsert_events", lambda *args: dies(after=False))
+            with pytest.raises(RuntimeError, match="killed"):
+                run(target, second, T2, "s-1")
+    run(target, second, T2, "s-1")
+    got = contents(target)
+    assert got == contents(whole) and got[2] == 2
+    again = run(target, second, T2, "s-1")
+    assert [r.run_utc for r in again.collect()] == [T2] and contents(target) == got
+
+
+def test_stream_repeats_a_killed_batch(spark, tmp_path, light):
+    registry, rules, keys, postal = light
+    target = store.EventStore(spark, str(tmp_path / "store"), buckets=2)
+    whole = ingest_pass(target, registry, rules, keys, postal, adapters={"html": plan.page_adapter()})
+    page_of(spark, T1, state_page("A", "2026-02-01T18:00:00Z")).write.parquet(str(tmp_path / "in"))
+
+    def killed(*args):
+        whole(*args)
+        raise RuntimeError("killed")
+
+    for run in (killed, whole):
+        stream = stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "cp"), run)
+        try:
+            stream.awaitTermination()
+        except Exception as failure:  # noqa: BLE001
+            assert run is killed and "killed" in str(failure)
+    assert target.events.version() == 1 and target.runs.read().count() == 1
+
+
+def test_pass_parses_unseen_pages_only(spark, tmp_path, light):
+    registry, rules, keys, postal = light
+    target = store.EventStore(spark, str(tmp_path), buckets=2)
+    seen = []
+
+    def counting(pages):
+        seen.append(pages.count())
+        return plan.PAGE_PARSERS["meetup-group"](pages)
+
+    adapters = {"html": plan.page_adapter({"meetup-group": counting})}
+    run = lambda when, body: plan.ingest(target, registry, page_of(spark, when, body), rules, keys, postal, when, adapters=adapters).first()
+    page, broken = state_page("A", "2026-02-01T18:00:00Z"), "<html>moved</html>"
+    assert run(T1, page).event_count == run(T2, page).event_count == run(T3, 304).event_count == 1
+    assert seen == [1, 0, 0] and target.events.read().first().last_seen_utc == T3
+    late, far = datetime(2026, 2, 10), datetime(2026, 6, 10)
+    assert run(late, page).event_count == 0 and seen[-1] == 0  # ended, though known
+    assert target.events.read().first().last_seen_utc == T3
+    assert [run(late, broken).error for _ in "ab"] == ["no __NEXT_DATA__ script found"] * 2 and seen[-2:] == [1, 0]
+    run(far, state_page("C", "2026-07-01T18:00:00Z"))
+    assert target.parsed.read().count() == 1  # what no pass met for long is gone
