@@ -17,6 +17,7 @@ from ..functions.times import dedupe_key, default_zone, instant, not_ended
 from ..functions.urls import event_id
 from ..operators.health import run_outcomes
 from ..operators.joins import lookup_join
+from ..operators.keywords import keyword_tags
 from ..operators.resolve import resolve_locations
 from ..operators.store import EventStore
 from ..session import prepare, write_through
@@ -207,9 +208,13 @@ def normalize_events(
     postal: DataFrame,
     geocode_cache: DataFrame | None,
     now: datetime | str,
-    keyword_to_tag: Mapping[str, str] = KEYWORD_TO_TAG,
+    keyword_to_tag: Mapping[str, str] | DataFrame = KEYWORD_TO_TAG,
 ) -> DataFrame:
-    """Raw events to event rows: clean texts, resolve the place, tag, and compute the dedupe key."""
+    """Raw events to event rows: clean texts, resolve the place, tag, and compute the dedupe key.
+
+    ``keyword_to_tag`` is a map, which becomes part of the plan, or a table (keyword, tag) of any size,
+    which is joined.
+    """
     cleaned = raw.withColumns(
         {
             "title": clean_title("title"),
@@ -221,6 +226,11 @@ def normalize_events(
     source_tags = registry.select(F.col("id").alias("source_id"), F.col("tags").alias("source_tags"))
     tagged = lookup_join(resolved, source_tags, ["source_id"], "left", spread_by=["source_event_id"])
     placed = tagged.withColumn("city", F.coalesce("matched_place", "city"))
+    if isinstance(keyword_to_tag, DataFrame):
+        placed = _with_keyword_tags(placed, keyword_to_tag)
+        keyword_tags_of = F.col("keyword_tags")
+    else:
+        keyword_tags_of = extract_tags("title", "description", keyword_to_tag)
     return placed.select(
         event_id("source_id", "source_event_id").alias("id"),
         "source_id",
@@ -240,7 +250,7 @@ def normalize_events(
         "location_precision",
         F.coalesce("attendance_hint", F.lit("InPerson")).alias("attendance"),
         "url",
-        merge_tags("source_tags", extract_tags("title", "description", keyword_to_tag)).alias("tags"),
+        merge_tags("source_tags", keyword_tags_of).alias("tags"),
         instant(now).alias("first_seen_utc"),
         instant(now).alias("last_seen_utc"),
         dedupe_key("title", "start_utc", "time_zone_id", "city").alias("dedupe_key"),
@@ -248,6 +258,16 @@ def normalize_events(
     )
 
 
+def _with_keyword_tags(rows: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``rows`` with ``keyword_tags``; each distinct text is asked once."""
+    text = F.concat("title", F.lit(" "), F.coalesce("description", F.lit("")))
+    named = rows.withColumn("text_key", F.sha2(text, 256))
+    texts = named.select("text_key", text.alias("text")).dropDuplicates(["text_key"])
+    found = keyword_tags(texts, keywords, F.col("text"), ["text_key"])
+    found = found.groupBy("text_key").agg(F.array_sort(F.collect_set("tag")).alias("keyword_tags"))
+    return lookup_join(named, found, ["text_key"], "left", spread_by=["source_event_id"]).drop("text_key")
+
+
 # --- one run -------------------------------------------------------------------------------
 
 # Answers geocoder queries (query, text) with query, http_status and body.
@@ -263,7 +283,7 @@ def ingest(
     postal: DataFrame,
     now: datetime | str,
     geocoder: Geocoder | None = None,
-    keyword_to_tag: Mapping[str, str] = KEYWORD_TO_TAG,
+    keyword_to_tag: Mapping[str, str] | DataFrame = KEYWORD_TO_TAG,
     adapters: Mapping[str, Adapter] = ADAPTERS,
     geocode_cap: int | None = None,
     pass_id: str | None = None,

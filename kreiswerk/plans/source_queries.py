@@ -175,10 +175,22 @@ FROM (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, reg
     "fx_robots",
 )
 def url_admission(spark: SparkSession, sf: str) -> DataFrame:
-    rules = robots.robots_rules(view(spark, sf, "fx_robots"), "unnamed")
+    rules = robots.robots_prefixes(view(spark, sf, "fx_robots"), "unnamed")
     return robots.mark_allowed(table(spark, sf, "pages").select("page_id", "url"), rules).select("page_id", "allowed")
 
 
+@query("""
+, rules AS (SELECT DISTINCT split_part(split_part(url, '://', 2), '/', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE page_id % 3 = 0),
+p AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, NOT EXISTS (SELECT 1 FROM rules r WHERE r.host = p.host AND starts_with(p.path, r.path) AND r.path <> '') AS allowed FROM p""".replace(", rules AS", "WITH rules AS", 1))
+def url_admission_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third page's path is a rule of its host."""
+    pages = table(spark, sf, "pages")
+    path = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    rules = pages.filter("page_id % 3 = 0").select(url_host("url").alias("host"), path.alias("prefix")).filter("prefix <> ''")
+    return robots.mark_allowed(pages.select("page_id", "url"), rules).select("page_id", "allowed")
+
+
 # --- fetches ---------------------------------------------------------------------------------
 
 _GOOD = """
