@@ -28,6 +28,8 @@ _BY |= np.uint32(1)
 # Fingerprints of one bucket that meet in one task at most, and rows a task works on at a time.
 BUCKET_ROWS = 4096
 ROWS_AT_ONCE = 100_000
+# Bytes of shingle sets of one chunk of a bucket, and of the blocks a task works on at a time.
+BUCKET_BYTES, BYTES_AT_ONCE = 8_000_000, 48_000_000
 
 
 def fingerprint(words: list[bytes], shingle: int, lanes: int) -> bytes:
@@ -172,16 +174,19 @@ def _dealt(rows: DataFrame, node: str, more: list[str]) -> DataFrame:
     return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
 
 
-def _whole_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of about ``ROWS_AT_ONCE`` rows that cut no block, with the numbers of their blocks."""
+def _whole_blocks(
+    batches: Iterable[pa.RecordBatch], most_bytes: float = float("inf")
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``ROWS_AT_ONCE`` rows or ``most_bytes`` that cut no block, with the numbers of their blocks."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+        if sum(b.num_rows for b in held) >= ROWS_AT_ONCE or sum(b.nbytes for b in held) >= most_bytes:
             table = pa.Table.from_batches(held).combine_chunks()
             group = _groups(table)
             stop = int(np.searchsorted(group, group[-1]))
-            yield table.slice(0, stop), group[:stop]
+            if stop:
+                yield table.slice(0, stop), group[:stop]
             held = table.slice(stop).to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -288,10 +293,12 @@ def set_links(vertices: DataFrame, texts_of: Callable[[DataFrame], DataFrame], s
 
     Every pair is verified by the sets themselves, which are taken again from the texts that
     ``texts_of`` gives for a table of v. First each bucket's members meet the one that has the most
-    company in all buckets. Then only pairs are left whose ends these links do not connect, and each
-    of them is verified, so a large group of near copies gives no square of pairs. Sets whose sizes
-    alone keep them under ``similarity`` do not meet, nor in the second step sets whose MinHashes
-    are far from it.
+    company in all buckets. Then the buckets that these links leave in several parts bring their sets
+    along, and pairs of different parts are compared in the task that holds both: it joins parts as it
+    finds links, and only these leave it, so a large group of near copies gives no square of pairs.
+    A bucket of many rows or bytes is cut into chunks of which any two meet. Sets whose sizes alone
+    keep them under ``similarity`` are not compared, nor in the second step sets whose MinHashes are
+    far from it.
     """
     hashes = MIN_BANDS * BAND_HASHES
     fewest = hashes * similarity - SLACK * (hashes * similarity * (1 - similarity)) ** 0.5
@@ -312,33 +319,52 @@ def set_links(vertices: DataFrame, texts_of: Callable[[DataFrame], DataFrame], s
     roots = components(links, "binary")
     keys = keys.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
     keys = cut(keys.select("bucket", "v", "size", F.coalesce("root", "v").alias("root")), "near-rooted")
-    apart = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-    apart = apart.filter("x <> y").select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("chunks"))
-    keys = keys.join(cut(apart, "near-apart").hint("merge"), "bucket")
-    rows = _dealt(keys.join(vertices.select("v", "sketch").hint("merge"), "v"), "v", ["size", "root", "sketch"])
+    apart = keys.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")
+    )
+    chunks = F.greatest(F.ceil(F.col("n") / BUCKET_ROWS), F.ceil(F.col("bytes") / BUCKET_BYTES)).cast("int")
+    apart = cut(apart.filter("x <> y").select("bucket", chunks.alias("chunks")), "near-apart")
+    keys = cut(keys.join(apart.hint("merge"), "bucket"), "near-left")
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _whole_blocks(batches):
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, shingle).tobytes() for t in raw_bytes(batch.column(1))]
+        return pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["v", "hashes"])
+
+    wanted = texts.join(keys.select("v").distinct().hint("merge"), "v", "left_semi").select("v", "_text")
+    wanted = wanted.mapInArrow(per_slice(sets, "_text"), "v binary, hashes binary")
+    wanted = cut(wanted.join(vertices.select("v", "sketch").hint("merge"), "v"), "near-sets")
+    rows = _dealt(keys.join(wanted.hint("merge"), "v"), "v", ["size", "root", "sketch", "hashes"])
+
+    def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_blocks(batches, BYTES_AT_ONCE):
             order = np.lexsort((table["size"].to_numpy(), group))
             table, group = table.take(pa.array(order)), group[order]
-            size, v = table["size"].to_numpy(), np.array(table["v"].to_pylist(), object)
+            size, v, held = table["size"].to_numpy(), table["v"], table["hashes"]
             root = np.unique(np.array(table["root"].to_pylist(), "V16"), return_inverse=True)[1]
+            parent = np.arange(len(group))
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(group), hashes)
-            left, lag = np.arange(len(group)), 0
+            set_of = lambda i: np.frombuffer(held[int(i)].as_py(), np.uint64)  # noqa: B023, E731
+            ends, left, lag = ([], []), np.arange(len(group)), 0
             while len(left):
                 lag += 1
                 left = left[left + lag < len(group)]
                 right = left + lag
                 left = left[(group[left] == group[right]) & (size[left] >= size[right] * (similarity - 1e-9))]
-                found = left[root[left] != root[left + lag]]
+                found = left[_find(parent, root[left]) != _find(parent, root[left + lag])]
                 found = found[np.count_nonzero(sketch[found] == sketch[found + lag], axis=1) >= fewest]
-                if len(found):
-                    ends = [pa.array(v[found], pa.binary()), pa.array(v[found + lag], pa.binary())]
-                    yield pa.record_batch(ends, names=["a", "b"])
-
-    rest = rows.mapInArrow(pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.distinct().join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "near-rest")
-    return links.unionByName(cut(_verified(rest, texts, shingle, similarity), "near-tested").filter("near").select("a", "b"))
+                for i in found:
+                    x, y = _find(parent, root[[i, i + lag]])
+                    if x == y:
+                        continue
+                    a, b = set_of(i), set_of(i + lag)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both / (len(a) + len(b) - both) >= similarity:
+                        parent[max(x, y)] = min(x, y)
+                        ends[0].append(v[int(i)].as_py())
+                        ends[1].append(v[int(i + lag)].as_py())
+            yield pa.record_batch([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
+
+    return links.unionByName(cut(rows.mapInArrow(rest, "a binary, b binary"), "near-rest"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
