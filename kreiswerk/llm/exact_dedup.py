@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import cut, lower_ascii, one_of, per_slice, raw_bytes
+from .work import cut, free, lower_ascii, one_of, per_slice, raw_bytes
 
 # Bytes of the first digit, and how much wider each following digit is.
 FIRST_DIGIT = 64
@@ -104,10 +104,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the exact copies, all columns kept; of repeated rows one stays.
 
     Rows meet the verdict by id and text, and the window that leaves one of repeated rows needs no
-    further shuffle.
+    further shuffle. Columns may have any names.
     """
+    (own,) = free(docs, "name")
     name = lambda id_, sha: F.concat_ws("/", F.coalesce(F.col(id_).cast("string"), F.lit("null")), sha)
     keep = radix_groups(docs, id_col, text_col).filter("kept")
-    keep = cut(keep.select(name(id_col, F.col("text_sha256")).alias("_name")).distinct(), "radix-kept")
+    keep = cut(keep.select(name(id_col, F.col("text_sha256")).alias(own)).distinct(), "radix-kept")
     sha = F.sha2(lower_ascii(F.coalesce(text_col, F.lit(""))), 256)
-    return one_of(docs.withColumn("_name", name(id_col, sha)).join(keep.hint("merge"), "_name"), "_name").drop("_name")
+    return one_of(docs.withColumn(own, name(id_col, sha)).join(keep.hint("merge"), own), own).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import cut
+from .work import cut, free
 
 # Rates are held as whole millionths, so that sums do not depend on the order of their terms.
 MILLION = 1_000_000
@@ -190,9 +190,10 @@ def mix(
 def mixed_rows(
     docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it; all columns kept."""
+    """The rows of ``docs``, each as often as :func:`mix` takes it; columns of any names kept."""
+    key, copies, copy = free(docs, "key", "copies", "copy")
     taken = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = cut(taken.filter("copies > 0").groupBy("key").agg(F.max("copies").alias("_copies")), "mix-copies")
-    rows = docs.withColumn("_key", row_key(seed, id_col, text_col, source_col))
-    rows = rows.join(times.withColumnRenamed("key", "_key").hint("merge"), "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    times = taken.filter("copies > 0").groupBy(F.col("key").alias(key)).agg(F.max("copies").alias(copies))
+    rows = docs.withColumn(key, row_key(seed, id_col, text_col, source_col))
+    rows = rows.join(cut(times, "mix-copies").hint("merge"), key)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

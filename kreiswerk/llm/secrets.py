@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,13 @@ ALPHABETS = {
     "base64": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-# Share of ordinary runs among those reported, and stretches of prose taken per run as the null.
+# Share of ordinary runs among those reported, and stretches of prose that make a null distribution;
+# a band with fewer takes in those of shorter runs, which look random more often.
 FALSE_SHARE = 0.05
-NULLS_PER_RUN = 8
+FEWEST_NULLS = 200
 LEVELS = 40
+# Numbers of bands set aside for an alphabet.
+BANDS = 1000
 # A run that the tests reject as random at 2 to the minus this is never reported.
 REJECTED = 10
 
@@ -119,10 +123,12 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE, id_col: str
     The fixed patterns give the base spans. Every other long run of letters and digits is tested for
     randomness in the smallest alphabet that holds it; where none does, its parts between + / _ and -
     are, and of a run that a base span touches, the rest. Ordinary runs pass such tests the more often
-    the shorter they are, so what passing is worth depends on length: stretches of prose of the same
-    length, from the same documents and read in the same alphabet, are tested too, and a run's
-    p-value is the share of them, over the whole corpus and in its band of lengths, that look as
-    random. Benjamini and Hochberg's rule over all runs then bounds the share of ordinary runs among
+    the shorter they are, so what passing is worth depends on length: all prose of the documents that
+    hold such runs is cut into stretches of the shortest length of the run's band, read in the same
+    alphabet and tested too, and a run's p-value is the share of them, over the whole corpus, that
+    look as random. A band with fewer than ``FEWEST_NULLS`` stretches takes in those of the next
+    shorter ones, then of longer ones and other alphabets; where there is no prose at all, the
+    battery's own p-value decides. Benjamini and Hochberg's rule over all runs then bounds the share of ordinary runs among
     those reported by ``false_share``. Runs that the tests themselves reject are not reported.
 
     Texts are read once; what leaves that pass are spans and their test levels. Only the counts per
@@ -143,21 +149,21 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE, id_col: str
             place = _code_points(text) if base or tried else None
             base_column.append([{"at": place(a), "kind": k, "stop": place(b)} for a, k, b in base])
             runs_column.append([{"at": place(a), "stop": place(b), "band": n, "level": p} for a, b, n, p in tried])
-            null_column.append([{"band": n, "level": p} for n, p in nulls])
+            null_column.append([{"band": n, "level": p, "n": c} for (n, p), c in nulls.items()])
         columns = [batch.column(0)]
         columns += [pa.array(c, k) for c, k in zip((base_column, runs_column, null_column), kinds, strict=True)]
         return pa.record_batch(columns, names=["_id", "base", "runs", "nulls"])
 
     number = lambda *names: pa.list_(pa.struct([(n, pa.int64()) for n in names]))
-    kinds = number("at", "kind", "stop"), number("at", "stop", "band", "level"), number("band", "level")
+    kinds = number("at", "kind", "stop"), number("at", "stop", "band", "level"), number("band", "level", "n")
     struct = lambda names: f"array<struct<{', '.join(f'{n}: long' for n in names.split())}>>"
-    schema = f"_id long, base {struct('at kind stop')}, runs {struct('at stop band level')}, nulls {struct('band level')}"
+    schema = f"_id long, base {struct('at kind stop')}, runs {struct('at stop band level')}, nulls {struct('band level n')}"
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     found = cut(texts.mapInArrow(per_slice(scan, "_text"), schema), "secrets")
-    tests = [found.select(F.explode(c).alias("r"), F.lit(c).alias("of")) for c in ("runs", "nulls")]
-    tests = [t.select("of", "r.band", "r.level") for t in tests]
-    counts = tests[0].unionByName(tests[1]).groupBy("of", "band", "level").count().collect()
-    accepted = discoveries({(r["of"], r["band"], r["level"]): r["count"] for r in counts}, false_share)
+    runs = found.select(F.explode("runs").alias("r")).select(F.lit("runs").alias("of"), "r.band", "r.level", F.lit(1).cast("long").alias("n"))
+    nulls = found.select(F.explode("nulls").alias("r")).select(F.lit("nulls").alias("of"), "r.band", "r.level", "r.n")
+    counts = runs.unionByName(nulls).groupBy("of", "band", "level").agg(F.sum("n").alias("n")).collect()
+    accepted = discoveries({(r["of"], r["band"], r["level"]): r["n"] for r in counts}, false_share)
 
     def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -177,13 +183,16 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE, id_col: str
     return out.withColumnRenamed("_id", id_col)
 
 
-def _tried(text: bytes, runs: list[tuple[int, int]], base: list) -> tuple[list[tuple], list[tuple]]:
-    """(start, end, band, level) of the parts of runs outside base spans, (band, level) of prose of their lengths."""
-    tried, nulls, prose = [], [], None
+def _tried(text: bytes, runs: list[tuple[int, int]], base: list) -> tuple[list[tuple], Counter]:
+    """(start, end, band, level) of the parts of runs outside base spans, counts of (band, level) of the prose."""
+    tried, nulls, known, prose = [], Counter(), set(), None
     for a, b in _parts(text, runs, base):
         name = infer(text[a:b])
-        of = 100 * list(ALPHABETS).index(name) + band(b - a)
+        of = BANDS * list(ALPHABETS).index(name) + band(b - a)
         tried.append((a, b, of, level(battery(text[a:b], name))))
+        if of in known:
+            continue
+        known.add(of)
         if prose is None:
             at, pieces = 0, []
             for x, y in runs:
@@ -193,8 +202,8 @@ def _tried(text: bytes, runs: list[tuple[int, int]], base: list) -> tuple[list[t
         upper = name in ("HEX", "base32")
         letters = (prose.upper() if upper else prose.lower()) if name in ("hex", "HEX", "base32") else prose
         letters = letters.translate(None, bytes(set(range(256)).difference(ALPHABETS[name])))
-        n = b - a
-        nulls += [(of, level(battery(letters[i * n : i * n + n], name))) for i in range(min(NULLS_PER_RUN, len(letters) // n))]
+        n = max(LEAST_RUN, math.ceil(2 ** (band(b - a) / 4)))
+        nulls.update((of, level(battery(letters[i : i + n], name))) for i in range(0, len(letters) - n + 1, n))
     return tried, nulls
 
 
@@ -230,15 +239,32 @@ def _code_points(text: bytes):
     return lambda i: int(before[i])
 
 
+def nulls_of(band_: int, counts: dict[tuple[str, int, int], int]) -> list[int]:
+    """Levels of the null of a band: its own and, while they are few, those of its neighbours."""
+    bands = {b for of, b, _ in counts if of == "nulls"}
+    same = [b for b in bands if b // BANDS == band_ // BANDS]
+    order = sorted((b for b in same if b <= band_), reverse=True) + sorted(b for b in same if b > band_)
+    order += sorted(bands.difference(same), key=lambda b: (abs(b % BANDS - band_ % BANDS), b))
+    total = [0] * (LEVELS + 1)
+    for b in order:
+        if sum(total) >= FEWEST_NULLS:
+            break
+        for x in range(LEVELS + 1):
+            total[x] += counts.get(("nulls", b, x), 0)
+    return total
+
+
 def discoveries(counts: dict[tuple[str, int, int], int], share: float) -> dict[int, int]:
     """The highest level accepted per band, by Benjamini and Hochberg over empirical p-values."""
-    bands = {b for _, b, _ in counts}
     ranked = []
-    for b in bands:
-        nulls = [counts.get(("nulls", b, x), 0) for x in range(LEVELS + 1)]
+    for b in {b for of, b, _ in counts if of == "runs"}:
+        nulls = nulls_of(b, counts)
         for x in range(LEVELS + 1):
             if n := counts.get(("runs", b, x), 0):
-                ranked.append(((1 + sum(nulls[: x + 1])) / (1 + sum(nulls)), b, x, n))
+                p = (1 + sum(nulls[: x + 1])) / (1 + sum(nulls))
+                if not sum(nulls):  # nothing to compare with: random unless the tests reject it
+                    p = 0.0 if 2.0**-x > share else 1.0
+                ranked.append((p, b, x, n))
     ranked.sort()
     every, so_far, cut_at = sum(r[3] for r in ranked), 0, 0.0
     for i, (p, _, _, n) in enumerate(ranked):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import cut, new_path, starts
+from .work import cut, free, new_path, starts
 
 # Text bytes that one bucket holds on average; a bucket is shuffled in the memory of one task.
 BUCKET_BYTES = 8_000_000
@@ -34,7 +34,8 @@ def shuffle_into_shards(
 
     Returned are the columns of ``docs`` with shard and slot, which is the place in the shard from
     0. Null texts and ids are rows like others. Repeated rows, equal in
-    id and text, share a bucket and get a place each. Columns named shard or slot are replaced. An empty table gives an empty result.
+    id and text, share a bucket and get a place each. Columns named shard or slot are replaced, others may
+    have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.drop("shard", "slot")
@@ -43,25 +44,26 @@ def shuffle_into_shards(
     buckets, every = max(1, -(-(seen["bytes"] or 0) // bucket_bytes)), seen["rows"]
     # The digest tells rows apart in a fixed order; it decides no equality.
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = rows.withColumn("_order", order).withColumn("_bucket", F.pmod(F.col("_order"), F.lit(buckets)))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    by, in_bucket = free(rows, "order", "bucket")
+    schema = rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
+    rows = rows.withColumn(by, order).withColumn(in_bucket, F.pmod(F.col(by), F.lit(buckets)))
+    counts = rows.groupBy(F.col(in_bucket).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     places = cut(starts(counts, "_bucket", "_n").select("_bucket", "_first"), "shard-places")
-    schema = rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("_order", "_bucket").schema
 
     def shuffled(bucket: pa.Table, place_of: pa.Table) -> pa.Table:
-        number, first = bucket["_bucket"][0].as_py(), place_of["_first"][0].as_py()
-        bucket = bucket.sort_by([("_order", "ascending"), (id_col, "ascending")])
+        number, first = bucket[in_bucket][0].as_py(), place_of["_first"][0].as_py()
+        bucket = bucket.sort_by([(by, "ascending"), (id_col, "ascending")])
         order = list(range(bucket.num_rows))
         random.Random(f"{seed}/{number}").shuffle(order)
         place = [first + i for i in range(len(order))]
         shard = [p * shards // every for p in place]
         slot = [p - -(-s * every // shards) for p, s in zip(place, shard, strict=True)]
-        bucket = bucket.take(pa.array(order, pa.int64())).drop_columns(["_order", "_bucket"])
+        bucket = bucket.take(pa.array(order, pa.int64())).drop_columns([by, in_bucket])
         return bucket.append_column("shard", pa.array(shard, pa.int32())).append_column(
             "slot", pa.array(slot, pa.int64())
         )
 
-    out = rows.groupBy("_bucket").cogroup(places.groupBy("_bucket")).applyInArrow(shuffled, schema)
+    out = rows.groupBy(in_bucket).cogroup(places.groupBy("_bucket")).applyInArrow(shuffled, schema)
     path = path or new_path(spark, "shards")
     out.write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import cut, one_of, per_slice, raw_bytes
+from .work import cut, free, one_of, per_slice, raw_bytes
 
 SEED = 42
 PIVOTS = 8
@@ -400,7 +400,7 @@ def drop_near_copies(
     and all verified by the sets, so nothing goes without a partner of that similarity. Equal sets
     are one vertex, also those of texts without words. Rows are told apart by id and text: rows that
     share an id but are no near copies all stay, rows without an id come last in their group, and of
-    repeated rows one stays.
+    repeated rows one stays. Columns may have any names.
     """
     rows = cut(shingle_rows(docs, shingle, id_col, text_col), "near-rows")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_sha").alias("_sha"))
@@ -419,6 +419,7 @@ def drop_near_copies(
     roots = components(links, "binary")
     of = vertices.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
     keep = of.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least"))
-    keep = cut(keep.select(name(F.col("least._id"), F.col("least._sha")).alias("_name")), "near-kept")
-    named = docs.withColumn("_name", name(F.col(id_col).cast("long"), of_text))
-    return one_of(named.join(keep.hint("merge"), "_name"), "_name").select(docs.columns)
+    (own,) = free(docs, "name")
+    keep = cut(keep.select(name(F.col("least._id"), F.col("least._sha")).alias(own)), "near-kept")
+    named = docs.withColumn(own, name(F.col(id_col).cast("long"), of_text))
+    return one_of(named.join(keep.hint("merge"), own), own).select(docs.columns)

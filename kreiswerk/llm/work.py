@@ -125,5 +125,17 @@ def starts(counts: DataFrame, number: str, n: str, within: tuple[str, ...] = (),
 
 def one_of(rows: DataFrame, name: str) -> DataFrame:
     """One row of those with the same ``name``."""
+    (at,) = free(rows, "number")
     number = F.row_number().over(Window.partitionBy(name).orderBy(name))
-    return rows.withColumn("_number", number).filter("_number = 1").drop("_number")
+    return rows.withColumn(at, number).filter(F.col(at) == 1).drop(at)
+
+
+def free(rows: DataFrame, *names: str) -> list[str]:
+    """``names`` with so many underscores in front that ``rows`` has no such column."""
+    taken = {c.lower() for c in rows.columns}
+    found = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        found.append(name)
+    return found
