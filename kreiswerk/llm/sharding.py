@@ -12,6 +12,8 @@ from .work import cut, free, new_path, starts
 
 # Text bytes that one bucket holds on average; a bucket is shuffled in the memory of one task.
 BUCKET_BYTES = 8_000_000
+# Buckets that a task of the second pass shuffles, one after the other.
+BUCKETS_PER_TASK = 8
 
 
 def shuffle_into_shards(
@@ -63,7 +65,9 @@ def shuffle_into_shards(
             "slot", pa.array(slot, pa.int64())
         )
 
-    out = rows.groupBy(in_bucket).cogroup(places.groupBy("_bucket")).applyInArrow(shuffled, schema)
+    # Tasks follow the buckets, so what one reads does not grow with the table.
+    tasks = max(-(-buckets // BUCKETS_PER_TASK), min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out = rows.repartition(tasks, in_bucket).groupBy(in_bucket).cogroup(places.groupBy("_bucket")).applyInArrow(shuffled, schema)
     path = path or new_path(spark, "shards")
     out.write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)

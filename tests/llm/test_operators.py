@@ -419,6 +419,9 @@ def test_sharding(spark, docs, none):
     same(again, [tuple(r) for r in got])
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert abs(np.corrcoef(order, range(1000))[0, 1]) < 0.15
+    copies = spark.range(3000).selectExpr("CAST(5 AS long) AS doc_id", "repeat('one text ', 20) AS text", "id AS other")
+    copied = sharding.shuffle_into_shards(copies, 7, bucket_bytes=5000).collect()
+    assert sorted(r.other for r in copied) == list(range(3000)) and len({(r.shard, r.slot) for r in copied}) == 3000
     edge = sharding.shuffle_into_shards(docs, 4)
     same([(r.doc_id, r.text) for r in edge.collect()], [(d, t) for d, t, _ in TEXTS])
     assert sharding.shuffle_into_shards(none, 4).count() == 0
