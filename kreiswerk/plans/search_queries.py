@@ -11,12 +11,13 @@ from ..functions import geo
 from ..functions.address import extract_plz
 from ..functions.text import fold, fold_constant
 from ..functions.urls import event_id
-from ..operators import feed, radius_join as rj, search
+from ..operators import feed, radius_join as rj, saved_pages, search
 from ..operators.gazetteer import (
     build_places, build_postal, longest_key_words, match_names, place_keys, postal_lookup, search_places,
 )
 from ..operators.joins import lookup_join
 from ..operators.resolve import resolve_locations
+from ..session import write_through
 from ..sources import gazetteer_files as files
 from ..sources import geocode
 from .catalog import distance_sql, fold_sql, joined, plz_sql, query, time_sql, time_text, tokens_sql
@@ -178,6 +179,24 @@ def saved_search_pages(spark: SparkSession, sf: str) -> DataFrame:
     return page.select("search_id", "id", "position")
 
 
+@query(
+    _PAIRS + """SELECT search_id, id, position FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY start_utc, id) AS position FROM pairs)
+WHERE position <= 6""",
+    "fx_raw_event fx_saved_search",
+)
+def saved_search_pages_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a first pass brought up to date with a second: events came, went and moved, searches changed."""
+    now, searches = write_through(stored_events(spark, sf), "events"), view(spark, sf, "fx_saved_search")
+    n = F.xxhash64("id") % 40
+    moved = F.when(n == 1, F.timestamp_add("DAY", F.lit(-200), F.col("start_utc"))).otherwise(F.col("start_utc"))
+    gone = now.filter(n == 3).withColumn("id", F.concat("id", F.lit("-gone")))
+    past = write_through(now.filter(n != 2).withColumn("start_utc", moved).unionByName(gone), "events-before")
+    known = searches.filter("search_id % 11 <> 4").withColumn("radius_km", F.col("radius_km") + (F.col("search_id") % 13 == 5).cast("int") * 7)
+    kept = write_through(rj.page_ids(past, known, limit=6), "kept-pages")
+    changed = now.filter(n.isin(1, 2)).select("id").unionByName(gone.select("id"))
+    return saved_pages.refreshed_pages(kept, now, changed, searches, known, limit=6).select("search_id", "id", "position")
+
+
 def _line_sql(line: str) -> str:
     """Content line folded after 74 and after 148 ASCII characters or 18 others."""
     return f"""CASE WHEN strlen({line}) <= 75 THEN {line} ELSE regexp_replace(regexp_replace({line}, CASE WHEN regexp_matches({line}, '[^\\x00-\\x7F]') THEN '(.{{18}})' ELSE '(.{{74}})' END, '\\1' || chr(13) || chr(10) || ' ', 'g'), '\r\n $', '') END"""

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kreiswerk.functions import geo
-from kreiswerk.operators import joins, radius_join, search
+from kreiswerk.operators import joins, radius_join, saved_pages, search
+from kreiswerk.session import write_through
 
 EVENT = "id string, source_id string, source_event_id string, title string, description string, venue_name string, city string, lat double, lon double, start_utc timestamp, location_status string, attendance string, tags array<string>"
 
@@ -148,3 +149,38 @@ def test_first_matches_equals_full_ranking(spark):
         ranked.setdefault(r.search_id, []).append((r.start_utc, r.id))
     want = {(s, n, i) for s, found in ranked.items() for n, (_, i) in enumerate(sorted(found), 1) if 3 < n <= 9}
     assert got == want
+
+
+def test_kept_pages_equal_new_ones(spark):
+    """Pages that lose all, some or none of their rows, pages that were not full, and changed searches."""
+    before = events(spark, [(50.0, 10.0 + i / 200) for i in range(60)])
+    n = F.col("id").try_cast("int")
+    day = lambda by: F.timestamp_add("DAY", F.lit(by), F.col("start_utc"))
+    now = before.filter(n % 7 != 1).withColumn("start_utc", F.when(n % 9 == 2, day(40)).when(n % 9 == 4, day(-40)).otherwise(F.col("start_utc")))
+    now = now.withColumn("title", F.when(n % 5 == 0, F.lit("Other")).otherwise(F.col("title"))).unionByName(
+        events(spark, [(50.0, 10.05)] * 3).withColumn("id", F.concat(F.lit("new"), "id"))
+    )
+    changed = before.filter((n % 7 == 1) | (n % 9).isin(2, 4) | (n % 5 == 0)).select("id")
+    changed = changed.unionByName(now.filter("id like 'new%'").select("id")).unionByName(changed)
+    schema = "search_id int, lat double, lon double, radius_km double, text string"
+    known = [(i, 50.0, 10.0 + i / 100, 0.2 + i, "talk" if i % 3 == 0 else None) for i in range(12)]
+    asked = [(i, la, lo, r * 2 if i == 5 else r, t) for i, la, lo, r, t in known if i != 7] + [(99, 50.0, 10.0, 9.0, None)]
+    known, asked = spark.createDataFrame(known, schema), spark.createDataFrame(asked, schema)
+    for limit in (4, 30):
+        kept = write_through(radius_join.page_ids(before, known, limit), "kept")
+        got = saved_pages.refreshed_pages(kept, now, changed, asked, known, limit)
+        want = radius_join.page_ids(now, asked, limit).select(got.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), limit
+    full = saved_pages.page_rows(want, now)
+    assert full.count() == want.count() and set(now.columns) < set(full.columns)
+
+
+def test_kept_pages_of_empty_tables(spark):
+    rows = events(spark, [(50.0, 10.0)] * 3)
+    asked = spark.createDataFrame([(1, 50.0, 10.0, 5.0)], "search_id int, lat double, lon double, radius_km double")
+    none, no_rows = asked.limit(0), rows.limit(0)
+    empty = radius_join.page_ids(no_rows, none, 2)
+    first = write_through(saved_pages.refreshed_pages(empty, rows, rows.select("id"), asked, none, 2), "first")
+    assert [(r.id, r.position) for r in first.orderBy("position").collect()] == [("00000", 1), ("00001", 2)]
+    assert saved_pages.refreshed_pages(first, no_rows, rows.select("id"), asked, asked, 2).count() == 0
+    assert saved_pages.refreshed_pages(first, rows, rows.select("id"), none, asked, 2).count() == 0
