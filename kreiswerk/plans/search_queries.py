@@ -17,7 +17,7 @@ from ..operators.gazetteer import (
 )
 from ..operators.joins import lookup_join
 from ..operators.resolve import resolve_locations
-from ..session import write_through
+from ..session import new_folder, write_through
 from ..sources import gazetteer_files as files
 from ..sources import geocode
 from .catalog import distance_sql, fold_sql, joined, plz_sql, query, time_sql, time_text, tokens_sql
@@ -395,6 +395,25 @@ def place_search(spark: SparkSession, sf: str) -> DataFrame:
     return search_places(places(spark, sf), "TOWN 1", 7)
 
 
+@query("SELECT n, name, population FROM (SELECT 2 AS n, * FROM fx_place WHERE contains(lower(name), 'town 2') ORDER BY population DESC, name, admin1 LIMIT 4)", "fx_place")
+def place_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """Blank texts and none find no place."""
+    known, out = places(spark, sf), None
+    for n, text in enumerate((None, "  ", " tówn 2".strip())):
+        found = search_places(known, text, 4).select(F.lit(n).alias("n"), "name", "population")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("SELECT name, alias AS aliases, admin1, population, lat, lon, plz FROM fx_place", "fx_place")
+def gazetteer_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Places and postal codes written as files and read back."""
+    known, codes = new_folder(spark, "places"), new_folder(spark, "postal")
+    files.write_gazetteer(places(spark, sf), postal(spark, sf), known, codes)
+    towns = files.parse_places(files.read_lines(spark, known)).withColumn("aliases", joined("aliases")).drop("line_no")
+    return towns.join(files.parse_postal(files.read_lines(spark, codes)).select("name", "lat", "lon", "plz"), ["name", "lat", "lon"])
+
+
 @query("SELECT name, alias || ',Ort' AS aliases, admin1, population, lat, lon, line_no FROM fx_place WHERE line_no % 5 <> 0", "fx_place")
 def places_file(spark: SparkSession, sf: str) -> DataFrame:
     full = F.concat_ws(";", "name", F.concat("alias", F.lit("||Ort")), "admin1", "population", "lat", "lon")

@@ -141,6 +141,36 @@ def calendar_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_MOVED = "event_id % 6 IN (1, 2) AND event_id % 5 < 2"
+
+
+@query(f"""
+SELECT * FROM (
+SELECT 'u' || event_id || '@t#' || strftime(start_utc, '%Y%m%dT%H%M%SZ') AS source_event_id, CASE WHEN minutes = 30 THEN 'Moved' ELSE event_type || ', Treffen' END AS title,
+  {time_sql('start_utc')} AS start_utc, {time_sql('start_utc + interval 1 minute * minutes')} AS end_utc
+FROM (
+  SELECT *, CASE WHEN k = 0 AND {_MOVED} THEN 30 ELSE 120 END AS minutes,
+    timezone('UTC', timezone('Europe/Berlin', {_LOCAL} + interval 1 day * k + interval 1 minute * (CASE WHEN k = 0 AND {_MOVED} THEN 1530 ELSE 0 END))) AS start_utc FROM (
+    SELECT *, unnest(CASE event_id % 6 WHEN 1 THEN list_transform(range(1 + event_id % 20), lambda i: i * 7) WHEN 2 THEN [0, 2, 4] ELSE [0] END) AS k FROM events WHERE event_id % 6 IN (0, 1, 2, 5))
+  UNION ALL SELECT *, 0 AS k, 1440 AS minutes, cast(cast(ts AS date) AS timestamp) AS start_utc FROM events WHERE event_id % 6 = 3)
+WHERE event_id % 23 > 1 AND start_utc + interval 1 minute * minutes >= timestamp '2024-01-15')""")
+def calendar_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """The first occurrence of some series moves to the evening after; the place it leaves is empty."""
+    n = F.regexp_extract("url", "([0-9]+)[.]ics", 1).cast("bigint")
+    day = F.regexp_extract("body", "DTSTART;TZID=Europe/Berlin:([0-9]{8})", 1)
+    next_day = F.date_format(F.date_add(F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date"), 1), "yyyyMMdd")
+    zone = F.lit(";TZID=Europe/Berlin:")
+    lines = F.concat_ws(
+        "\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:u"), n, F.lit("@t")), F.concat(F.lit("RECURRENCE-ID"), zone, day, F.lit("T183000")),
+        F.concat(F.lit("DTSTART"), zone, next_day, F.lit("T200000")), F.lit("DURATION:PT30M"), F.lit("SUMMARY:Moved"), F.lit("END:VEVENT"),
+        F.lit("END:VCALENDAR"),
+    )
+    moved = n.isNotNull() & (n % 6).isin(1, 2) & (n % 5 < 2) & (n % 23 > 1)
+    body = F.when(moved, F.replace("body", F.lit("END:VCALENDAR"), lines)).otherwise(F.col("body"))
+    rows, _ = calendar.extract_calendar_events(view(spark, sf, "fx_feed").withColumn("body", body), _NOW, overrides=True)
+    return rows.select("source_event_id", "title", time_text("start_utc").alias("start_utc"), time_text("end_utc").alias("end_utc"))
+
+
 @query("""
 SELECT 'https://x.example/' || event_id || '.ics' AS url, CASE WHEN event_id % 23 = 0 THEN 'feed is empty or not a calendar' ELSE 'entry u' || event_id || '@t: unsupported frequency' END AS error
 FROM events WHERE event_id % 23 = 0 OR (event_id % 23 > 1 AND event_id % 6 = 4)""")

@@ -7,15 +7,17 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import col, let
 from ..functions.times import instant, safe_zone, zone_id
 from ..functions.urls import occurrence_id
+from ..operators.joins import lookup_join
 from ..operators.recurrence import occurrence_starts, rule_problem
 from ..operators.rows import computed
+from ..session import write_through
 
 _STAMP = r"^([0-9]{8})(?:T([0-9]{6})(Z)?)?"
 _LINE = r'(?s)^[A-Za-z0-9-]+((?:;(?:"[^"]*"|[^":])*)?):(.*)$'
-_PROPERTIES = ("UID", "SUMMARY", "DESCRIPTION", "LOCATION", "URL", "GEO", "DTSTART", "DTEND", "DURATION", "RRULE")
+_PROPERTIES = ("UID", "SUMMARY", "DESCRIPTION", "LOCATION", "URL", "GEO", "DTSTART", "DTEND", "DURATION", "RRULE", "RECURRENCE-ID")
 _REPEATED = ("RDATE", "EXDATE")
 
 
@@ -23,7 +25,8 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """VEVENTs with a UID and a start, and the feeds that are no calendar.
 
     ``feeds`` has ``source_id, url, body``. Dates and times stay in the wall clock of the entry;
-    ``zone`` is null for floating times and whole days, which count as UTC.
+    ``zone`` is null for floating times and whole days, which count as UTC. ``replaces`` is the start
+    of the occurrence an entry stands for, null for most.
     """
     text = F.regexp_replace(F.regexp_replace("body", "\r\n?", "\n"), "\n[ \t]", "")
     unfolded = feeds.select("source_id", F.col("url").alias("feed_url"), text.alias("text"))
@@ -42,7 +45,8 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("names", F.transform("lines", _property_name))
         .select("source_id", "feed_url", "feed_pos", *map(_first_line, _PROPERTIES), *map(_all_lines, _REPEATED))
     )
-    start, end = _stamp("DTSTART"), _stamp("DTEND")
+    start, end, replaced = _stamp("DTSTART"), _stamp("DTEND"), _stamp("RECURRENCE-ID")
+    replaced_zone = safe_zone(F.coalesce(replaced["zone"], start["zone"]))
     columns = [
         "source_id",
         "feed_url",
@@ -63,28 +67,35 @@ def calendar_entries(feeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.upper(_value("RRULE")).alias("rule"),
         _stamps("RDATE", start["zone"]).alias("extra"),
         _stamps("EXDATE", start["zone"]).alias("excluded"),
+        F.when(F.col("RECURRENCE-ID").isNotNull(), _to_instant(replaced["wall"], replaced_zone)).alias("replaces"),
     ]
     return computed(entries, *columns).filter("uid is not null and start_wall is not null"), errors
 
 
 def extract_calendar_events(
-    feeds: DataFrame, now: datetime | str, months: int = 12
+    feeds: DataFrame, now: datetime | str, months: int = 12, overrides: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`calendar_events`, with feeds and entries that failed in one table."""
-    events, errors, unsupported = calendar_events(feeds, now, months)
+    events, errors, unsupported = calendar_events(feeds, now, months, overrides)
     return events, errors.unionByName(unsupported)
 
 
 def calendar_events(
-    feeds: DataFrame, now: datetime | str, months: int = 12
+    feeds: DataFrame, now: datetime | str, months: int = 12, overrides: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Occurrences that are not over at ``now`` and start within ``months``, feeds that are no calendar,
     and entries whose rule is not supported; the latter leave the other entries of their feed alone.
 
     A recurring entry is expanded in its own wall clock, so it keeps its local hour across a change
     of daylight saving time. Entries with a rule outside the supported subset are reported.
+
+    An entry with RECURRENCE-ID adds its occurrence. With ``overrides`` it also takes the place of the
+    one its feed's entries of the same UID have at that instant, wherever it moved to; several such
+    entries for one instant all stay.
     """
     entries, errors = calendar_entries(feeds)
+    if overrides:
+        entries = write_through(entries, "calendar-entries")
     problem = rule_problem("rule")
     unsupported = entries.withColumn("problem", problem).filter("problem is not null").select(
         "source_id",
@@ -108,6 +119,11 @@ def calendar_events(
         .withColumn("end_utc", F.timestamp_micros(F.unix_micros("start_utc") + F.col("length")))
     )
     window_end = instant(now) + F.make_interval(months=F.lit(months))
+    if overrides:
+        moved = entries.filter("replaces is not null").withColumnRenamed("replaces", "_at")
+        by_instant = occurrences.withColumn("_at", F.when(F.col("replaces").isNull(), F.col("start_utc")))
+        on = ["source_id", "feed_url", "uid", "_at"]
+        occurrences = lookup_join(by_instant, moved.select(*on).distinct(), on, "left_anti", ["feed_pos", "start_utc"])
     kept = occurrences.filter((F.col("end_utc") >= instant(now)) & (F.col("start_utc") < window_end))
     none = F.lit(None).cast("string")
     events = kept.select(
@@ -221,5 +237,5 @@ def _duration(value: Column) -> Column:
     )
 
 
-def _to_instant(wall: str, zone: Column) -> Column:
-    return F.to_utc_timestamp(F.col(wall).cast("timestamp"), zone)
+def _to_instant(wall: Column | str, zone: Column) -> Column:
+    return F.to_utc_timestamp(col(wall).cast("timestamp"), zone)

@@ -106,6 +106,28 @@ def vevent(*lines, uid="u"):
     return "\r\n".join(["BEGIN:VCALENDAR", "BEGIN:VTIMEZONE", "DTSTART:19700101T000000", "END:VTIMEZONE", "BEGIN:VEVENT", f"UID:{uid}", *lines, "END:VEVENT", "END:VCALENDAR", ""])
 
 
+def test_moved_occurrences_take_the_place_of_others(spark):
+    """By wall clock, by UTC, as a whole day; moved out of the window; another UID and another feed stay."""
+    weekly = ["DTSTART;TZID=Europe/Berlin:20260302T180000", "DURATION:PT1H", "RRULE:FREQ=WEEKLY;COUNT=4"]
+    instead = lambda uid, *lines: "\r\n".join(["BEGIN:VEVENT", f"UID:{uid}", *lines, "END:VEVENT", ""])
+    moved = (
+        instead("u", "RECURRENCE-ID;TZID=Europe/Berlin:20260309T180000", "DTSTART;TZID=Europe/Berlin:20260310T200000")
+        + instead("u", "RECURRENCE-ID:20260316T170000Z", "DTSTART:20200101T000000Z")
+        + instead("v", "RECURRENCE-ID;TZID=Europe/Berlin:20260302T180000", "DTSTART:20260304T000000Z")
+        + instead("d", "DTSTART;VALUE=DATE:20260401", "RRULE:FREQ=DAILY;COUNT=2")
+        + instead("d", "RECURRENCE-ID;VALUE=DATE:20260402", "DTSTART;VALUE=DATE:20260405")
+    )
+    feed = vevent(*weekly).replace("END:VCALENDAR", moved + "END:VCALENDAR")
+    when = datetime(2026, 3, 1, tzinfo=NOW.tzinfo)
+
+    def found(overrides):
+        rows, _ = calendar.extract_calendar_events(page(spark, feed), when, overrides=overrides)
+        return sorted(f"{r.source_event_id.split('#')[0]} {r.start_utc:%m%d %H%M}" for r in rows.collect())
+
+    assert found(True) == ["d 0401 0000", "d 0405 0000", "u 0302 1700", "u 0310 1900", "u 0323 1700", "v 0304 0000"]
+    assert found(False) == sorted([*found(True), "d 0402 0000", "u 0309 1700", "u 0316 1700"])
+
+
 def starts(spark, *lines, now=NOW):
     rows, errors = calendar.extract_calendar_events(page(spark, vevent(*lines)), now)
     return [f"{r.start_utc:%y%m%d %H%M}" for r in rows.orderBy("start_utc").collect()], [e.error for e in errors.collect()]
