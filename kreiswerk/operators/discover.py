@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.variants import strict_string
+from ..session import write_through
 from ..sources.pages import entity_map, state_script
 from ..sources.sitemap import chapter_slug
+from .joins import lookup_join
 from .rows import computed
 
 
@@ -76,13 +78,14 @@ def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: in
             F.lit("").alias("name"), "city",
         )
     )
-    seen = searched.unionByName(featured)
-    first = seen.groupBy("slug").agg(
-        F.min_by(F.struct("name", "city"), F.struct("stage", "page_no", "pos")).alias("first")
-    )
-    ranked = seen.select("slug", "route").distinct().withColumn(
-        "n", F.row_number().over(W.partitionBy("slug").orderBy("route"))
+    # Written once per group and route, so that names and routes do not each parse all pages.
+    at = F.struct("stage", "page_no", "pos")
+    seen = searched.unionByName(featured).groupBy("slug", "route").agg(
+        F.min_by(F.struct("name", "city"), at).alias("first"), F.min(at).alias("at")
     )
+    seen = write_through(seen, "group-routes")
+    first = seen.groupBy("slug").agg(F.min_by("first", "at").alias("first"))
+    ranked = seen.select("slug", "route").withColumn("n", F.row_number().over(W.partitionBy("slug").orderBy("route")))
     ranked = ranked if routes_kept is None else ranked.filter(F.col("n") <= routes_kept)
     routes = ranked.groupBy("slug").agg(F.sort_array(F.collect_list("route")).alias("routes"))
     return first.join(routes, "slug").select("slug", "first.name", "first.city", "routes")
@@ -91,13 +94,15 @@ def harvest_groups(find_pages: DataFrame, city_pages: DataFrame, routes_kept: in
 def group_report(
     candidates: DataFrame, pages: DataFrame, after: str, titles_kept: int | None = 3, title_width: int | None = 70
 ) -> DataFrame:
-    """Profile of each candidate whose page (``slug, body``) landed.
+    """Profile of each candidate whose page (``slug, body``) landed; pages of others are not parsed.
 
+    ``candidates`` is read twice, so it should be a written table.
     Events later than ``after`` (ISO text) count, in page order. A page without an entity map
     counts as a reachable group without events. Everything about a page is computed inside its row.
     ``titles`` are the first ``titles_kept`` titles, each cut at ``title_width`` characters; None keeps
     all titles, or whole ones.
     """
+    pages = lookup_join(pages, candidates.select("slug").distinct(), ["slug"], "left_semi", ["slug"])
     state = computed(pages, "slug", entity_map(state_script(F.col("body"))).alias("state"))
     entities = F.coalesce(F.map_entries("state"), F.array().cast("array<struct<key:string,value:variant>>"))
     upcoming = F.filter(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.times import not_ended
 from ..functions.urls import url_host
 from ..operators import discover, health
+from ..session import write_through
 from ..sources import calendar, crawl, pages, robots, sitemap
 from ..sources.registry import with_registry_defaults
 from .catalog import joined, query, time_sql, time_text
@@ -394,11 +395,12 @@ def _group_report(spark: SparkSession, sf: str, candidates: DataFrame) -> DataFr
 
 @query(f"WITH {_REPORT} SELECT * FROM report")
 def group_report(spark: SparkSession, sf: str) -> DataFrame:
-    report = discover.ranked_groups(_group_report(spark, sf, _candidates(spark, sf)), "physical")
+    candidates = write_through(_candidates(spark, sf), "candidates")
+    report = discover.ranked_groups(_group_report(spark, sf, candidates), "physical")
     return report.withColumns({"titles": joined("titles"), "routes": joined("routes")})
 
 
 @query(f"WITH {_REPORT} SELECT (SELECT count(*) FROM harvest) AS candidates, (SELECT count(*) FROM report) AS reachable, (SELECT count(*) FROM report WHERE upcoming > 0) AS live")
 def discovery_summary(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = _candidates(spark, sf)
+    candidates = write_through(_candidates(spark, sf), "candidates")
     return discover.discovery_summary(candidates, _group_report(spark, sf, candidates))

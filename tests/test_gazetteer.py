@@ -183,3 +183,23 @@ def test_limits_of_lists_accept_none(spark):
         found = discover.harvest_groups(pages, cities, **({"routes_kept": None} if kept else {}))
         row = discover.group_report(found, landed, "2024-01-01", **kept).first()
         assert (len(row.routes), [len(t) for t in row.titles]) == (n, [width] * n)
+
+
+def test_discovery_parses_pages_once_and_only_those_of_candidates(spark):
+    from kreiswerk.operators import discover
+
+    state = {"Group:1": {"link": "https://www.meetup.com/g/", "name": "G", "city": "Ulm"}}
+    script = json.dumps({"props": {"pageProps": {"__APOLLO_STATE__": state}}})
+    body = f'<script id="__NEXT_DATA__" type="application/json">{script}</script>'
+    pages = spark.createDataFrame([(2 - i, f"r{i}", body.replace("Ulm", f"Ulm{i}")) for i in (0, 1, 1)], "page_no bigint, route string, body string")
+    cities = spark.createDataFrame([], "page_no bigint, city string, body string")
+    found = discover.harvest_groups(pages, cities)
+    assert [tuple(r) for r in found.collect()] == [("g", "G", "Ulm1", ["r0", "r1"])]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan(found)
+    landed = spark.createDataFrame([("g", body), ("other", body), (None, body)], "slug string, body string")
+    report = discover.group_report(found, landed, "2024-01-01")
+    assert [(r.slug, r.upcoming) for r in report.collect()] == [("g", 0)]
+    lines = plan(report).splitlines()
+    parse, semi = (next(i for i, line in enumerate(lines) if word in line) for word in ("from_json", "LeftSemi"))
+    assert parse < semi
