@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import DEFAULT_PAGE
 from ..session import write_through
 from .joins import lookup_join, salted_join
-from .radius_join import event_identity, page_ids, ranked_pages, searches_with_filters
+from .radius_join import digest, event_identity, page_ids, ranked_pages, searches_with_filters
 
 
 def refreshed_pages(
@@ -36,7 +36,7 @@ def refreshed_pages(
     identity = event_identity(events)
     touched = write_through(changed.select(*identity).distinct(), "changed")
     asked = searches_with_filters(searches)
-    shape = F.sha2(F.to_json(F.struct(*[c for c in asked.columns if c != "search_id"])), 256).alias("_shape")
+    shape = digest(*[c for c in asked.columns if c != "search_id"]).alias("_shape")
     before = searches_with_filters(known).select("search_id", shape)
     same = asked.select("search_id", shape).join(before, ["search_id", "_shape"], "left_semi").select("search_id")
     same = write_through(same, "same-searches")

@@ -184,3 +184,23 @@ def test_kept_pages_of_empty_tables(spark):
     assert [(r.id, r.position) for r in first.orderBy("position").collect()] == [("00000", 1), ("00001", 2)]
     assert saved_pages.refreshed_pages(first, no_rows, rows.select("id"), asked, asked, 2).count() == 0
     assert saved_pages.refreshed_pages(first, rows, rows.select("id"), none, asked, 2).count() == 0
+
+
+def test_equal_searches_share_circles_and_filters_meet_events_once(spark):
+    rows = events(spark, [(50.0, 10.0)] * 5 + [(50.1, 10.0)] * 5)
+    schema = "search_id int, lat double, lon double, radius_km double, start_from timestamp"
+    late = datetime(2020, 1, 1, 0, 0, 0, 1)
+    table = spark.createDataFrame([(i, 50.0, 10.0, 99.0, (None, late, late.replace(microsecond=2))[i % 3]) for i in range(30)], schema)
+    members, circles = radius_join._asked(rows, table, False)
+    assert (members.count(), members.select("_ask").distinct().count(), circles.count()) == (30, 3, 6)
+    met = radius_join._filtered(radius_join._with_texts(rows), circles, members, ["id"])
+    assert met.count() == 30
+    assert radius_join.radius_join(rows, table).count() == 300
+
+
+def test_side_of_one_block_is_not_repeated(spark, tmp_path, monkeypatch):
+    heavy = []
+    monkeypatch.setattr(joins, "write_through", lambda df, label: heavy.extend(df.collect()) or df)
+    left, right = (spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias(name)) for n, name in ((1000, "a"), (5, "b")))
+    assert joins.balanced_join(left, right, ["k"], ["a"], ["b"], pairs_per_task=2500, block_rows=10).count() == 5000
+    assert [(r._lb, r._rb) for r in heavy] == [(2, 1)]
