@@ -1,4 +1,10 @@
-"""Substring search by an index of three-character pieces."""
+"""Substring search by an index of three-character pieces.
+
+Rows whose texts repeat are best indexed by text: store ``text_key()`` with the rows, write the index
+of ``distinct_texts(rows)`` with the key ``TEXT_KEY`` and pass that key to the search. Each different
+text is then indexed once, under eight bytes, and rows are searched without moving them while the
+texts found are few.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +18,7 @@ from .rows import computed
 from .search import search_text, with_text
 
 GRAM = 3
+TEXT_KEY = ("text_key",)
 
 
 def grams(text: Column) -> Column:
@@ -23,10 +30,21 @@ def needle_grams(needle: str) -> list[str]:
     return sorted({needle[i : i + GRAM] for i in range(len(needle) - GRAM + 1)})
 
 
+def text_key(text: Column | None = None) -> Column:
+    """Hash of a text; texts that share it are found together and told apart by the final search."""
+    return F.xxhash64(search_text() if text is None else text).alias(*TEXT_KEY)
+
+
+def distinct_texts(rows: DataFrame, text: Column | None = None) -> DataFrame:
+    """``text_key`` and ``text`` of every different text; ``rows`` has ``text_key``."""
+    return rows.select(*TEXT_KEY, (search_text() if text is None else text).alias("text")).distinct()
+
+
 def postings(rows: DataFrame, key: Sequence[str], text: Column | None = None) -> DataFrame:
     """``gram`` and ``key``, once for each row that holds the piece; the default text is ``search_text()``."""
     texts = computed(rows, *key, grams(search_text() if text is None else text).alias("grams"))
-    return texts.select(F.explode("grams").alias("gram"), *key)
+    found = texts.select(F.explode("grams").alias("gram"), *key)
+    return found.distinct() if tuple(key) == TEXT_KEY else found
 
 
 def write_text_index(rows: DataFrame, path: str, key: Sequence[str] = ("id",), text: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import search, store
 from ..operators.gazetteer import place_keys, postal_lookup
 from ..operators.keywords import keyword_tags
 from ..operators.rows import computed
-from ..operators.text_index import with_text_indexed, write_text_index
+from ..operators.text_index import TEXT_KEY, distinct_texts, text_key, with_text_indexed, write_text_index
 from ..session import new_folder, write_through
 from .catalog import bounded_sql, fold_sql, query, time_sql, time_text, tokens_sql
 from .fixtures import table, view
@@ -57,12 +57,13 @@ SELECT needle, id FROM stored, n WHERE contains({fold_sql('title')}, needle) OR
     "fx_raw_event",
 )
 def text_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = write_through(stored_events(spark, sf), "events")
-    index = write_text_index(rows, new_folder(spark, "grams"))
+    rows = write_through(stored_events(spark, sf).withColumn("text_key", text_key()), "events")
+    texts = write_through(distinct_texts(rows), "texts")
+    index = write_text_index(texts, new_folder(spark, "grams"), TEXT_KEY, F.col("text"))
     out = None
     for text in ("KÖL", "o", "Größe", "keinstück", "machine LEARN"):
         needle = fold_constant(text) if text != "KÖL" else "koel"
-        found = with_text_indexed(rows, index, needle).select(F.lit(needle).alias("needle"), "id")
+        found = with_text_indexed(rows, index, needle, TEXT_KEY).select(F.lit(needle).alias("needle"), "id")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -50,6 +50,23 @@ def test_index_equals_scan(spark, tmp_path):
     assert "In(gram, [abc,bcd])" in plan
 
 
+def test_index_by_text_holds_each_text_once(spark, tmp_path):
+    schema = "id string, title string, description string, venue_name string, city string, tags array<string>"
+    rows = spark.createDataFrame([(str(i), f"Größe {i % 3}", None, None, None, ["Tag"]) for i in range(30)], schema)
+    keyed = rows.withColumn("text_key", text_index.text_key())
+    texts = text_index.distinct_texts(keyed)
+    assert texts.count() == 3
+    index = text_index.write_text_index(texts, str(tmp_path / "grams"), text_index.TEXT_KEY, F.col("text"))
+    assert index.filter("gram = 'gro'").count() == 3
+    ids = lambda df: sorted(r.id for r in df.select("id").collect())
+    for needle in ("groesse", "e 1", "1", "tag", "zzz", None):
+        assert ids(text_index.with_text_indexed(keyed, index, needle, text_index.TEXT_KEY)) == ids(search.with_text(rows, needle)), needle
+    # Two texts under one key: both are found by their own pieces and told apart by the search.
+    one = rows.withColumn("text_key", F.lit(7).cast("long"))
+    index = text_index.write_text_index(text_index.distinct_texts(one), str(tmp_path / "one"), text_index.TEXT_KEY, F.col("text"))
+    assert ids(text_index.with_text_indexed(one, index, "e 1", text_index.TEXT_KEY)) == ids(search.with_text(rows, "e 1"))
+
+
 def test_cursor_goes_on_within_equal_starts(spark):
     when = [datetime(2026, 1, 1 + i // 4) for i in range(10)]
     rows = spark.createDataFrame([(f"e{i}", w) for i, w in enumerate(when)], "id string, start_utc timestamp")
