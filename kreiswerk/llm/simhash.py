@@ -36,7 +36,11 @@ def fingerprint(words: list[bytes], shingle: int, lanes: int) -> bytes:
     """The sign of the bit sums over all shingles, repeats included; without words all zero."""
     if not words:
         return bytes(8 * lanes)
-    first = _hashes(words, shingle)
+    return _signs(_hashes(words, shingle), lanes)
+
+
+def _signs(first: np.ndarray, lanes: int) -> bytes:
+    """The sign of the bit sums over hashes, and in further lanes over what they are mixed to."""
     n = len(first)
     lanes_of = [first, *(_mixed(first, lane) for lane in range(1, lanes))]
     out = []
@@ -267,7 +271,7 @@ def min_hashes(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def shingle_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id, SHA-256 of the text, digest, size, band keys and MinHash bytes of the shingle set, of every row."""
+    """id, SHA-256 of the text, digest, size, fingerprint, band keys and MinHash bytes of the shingle set, of every row."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = raw_bytes(batch.column(1))
@@ -278,46 +282,78 @@ def shingle_rows(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
             pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
             pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
             pa.array([len(x) for x in sets], pa.int32()),
+            pa.array([_signs(x, 1) for x in sets], pa.binary()),
             pa.array([x for x, _ in found], pa.list_(pa.int64())),
             pa.array([x for _, x in found], pa.binary()),
         ]
-        return pa.record_batch(columns, names=["_id", "_sha", "v", "size", "bands", "sketch"])
+        return pa.record_batch(columns, names=["_id", "_sha", "v", "size", "fp", "bands", "sketch"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    schema = "_id long, _sha string, v binary, size int, bands array<long>, sketch binary"
+    schema = "_id long, _sha string, v binary, size int, fp binary, bands array<long>, sketch binary"
     return texts.mapInArrow(per_slice(rows, "_text"), schema)
 
 
-def set_links(vertices: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) that connect all ``vertices`` (v, size, bands, sketch) of ``similarity`` that share a band.
+def print_pairs(vertices: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``vertices`` (v, size, fp) by their fingerprints, see :func:`near_links`.
+
+    Of vertices with equal fingerprints the smallest meets the others; it stands for its fingerprint
+    in the links between different ones. Sets whose sizes alone keep them under ``similarity`` make no pair.
+    """
+    prints = vertices.groupBy("fp").agg(F.min(F.struct("v", "size")).alias("one"))
+    prints = cut(prints, "near-prints")
+    linked = cut(near_links(prints.select("fp"), radius, 1, exact_tables(64, radius, prints.count())), "near-print-links")
+    for end in "ab":
+        linked = linked.join(prints.select(F.col("fp").alias(end), F.col("one").alias(f"of_{end}")).hint("merge"), end)
+    own = F.struct("v", "size").alias("of_b")
+    equal = vertices.join(prints.hint("merge"), "fp").select(F.col("one").alias("of_a"), own).filter("of_a.v <> of_b.v")
+    pairs = linked.select("of_a", "of_b").unionByName(equal)
+    small, large = F.least("of_a.size", "of_b.size"), F.greatest("of_a.size", "of_b.size")
+    pairs = pairs.filter(small >= large * (similarity - 1e-9))
+    return pairs.select(F.least("of_a.v", "of_b.v").alias("a"), F.greatest("of_a.v", "of_b.v").alias("b")).distinct()
+
+
+def set_links(
+    vertices: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, radius: int
+) -> DataFrame:
+    """Pairs (a, b) that connect all ``vertices`` (v, size, fp, bands, sketch) of ``similarity`` that share a band.
 
     Every pair is verified by the sets themselves, which are taken again from the texts that
-    ``texts_of`` gives for a table of v. First each bucket's members meet the one that has the most
-    company in all buckets. Then the buckets that these links leave in several parts bring their sets
-    along, and pairs of different parts are compared in the task that holds both: it joins parts as it
-    finds links, and only these leave it, so a large group of near copies gives no square of pairs.
+    ``texts_of`` gives for a table of v. First come the pairs whose fingerprints block keys and pivot
+    distances find within ``radius`` bits. Fingerprints of sets of ``similarity`` may lie farther apart,
+    so MinHash bands find what these links leave in several parts: each bucket's members meet the one
+    that has the most company in all buckets, if they are of another part. Then the buckets that are
+    still in several parts bring their sets along, and pairs of different parts are compared in the
+    task that holds both: it joins parts as it finds links, and only these leave it, so a large group
+    of near copies gives no square of pairs.
     A bucket of many rows or bytes is cut into chunks of which any two meet. Sets whose sizes alone
     keep them under ``similarity`` are not compared, nor in the second step sets whose MinHashes are
     far from it.
     """
     hashes = MIN_BANDS * BAND_HASHES
     fewest = hashes * similarity - SLACK * (hashes * similarity * (1 - similarity)) ** 0.5
+    pairs = cut(print_pairs(vertices, radius, similarity), "near-print-pairs")
     keys = vertices.select(F.explode("bands").alias("bucket"), "v", "size")
     counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keys = cut(keys.join(cut(counts, "near-buckets").hint("merge"), "bucket"), "near-keys")
     company = cut(keys.groupBy("v").agg(F.sum("n").alias("company")), "near-company")
-    texts = cut(texts_of(company.select("v")), "near-texts")
-    keys = cut(keys.join(company.hint("merge"), "v"), "near-keys")
-    centres = keys.groupBy("bucket").agg(F.max(F.struct("company", "v", "size")).alias("c"))
-    stars = keys.select("bucket", "v", "size").join(cut(centres, "near-centres").hint("merge"), "bucket")
+    wanted = company.select("v").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("v"))).distinct()
+    texts = cut(texts_of(wanted), "near-texts")
+    tested = cut(_verified(pairs, texts, shingle, similarity), "near-prints-tested")
+    by_print = tested.filter("near").select("a", "b")
+
+    roots = components(by_print, "binary")
+    keys = keys.join(company.hint("merge"), "v").join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
+    keys = cut(keys.select("bucket", "v", "size", "company", F.coalesce("root", "v").alias("root")), "near-keys")
+    centres = keys.groupBy("bucket").agg(F.max(F.struct("company", "v", "size", "root")).alias("c"))
+    stars = keys.select("bucket", "v", "size", "root").join(cut(centres, "near-centres").hint("merge"), "bucket")
     small, large = F.least("size", "c.size"), F.greatest("size", "c.size")
-    stars = stars.filter((F.col("v") != F.col("c.v")) & (small >= large * (similarity - 1e-9)))
+    stars = stars.filter((F.col("root") != F.col("c.root")) & (small >= large * (similarity - 1e-9)))
     stars = stars.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")).distinct()
     tested = cut(_verified(cut(stars, "near-stars"), texts, shingle, similarity), "near-tested")
-    links = tested.filter("near").select("a", "b")
+    links = by_print.unionByName(tested.filter("near").select("a", "b"))
 
     roots = components(links, "binary")
-    keys = keys.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
+    keys = keys.drop("root").join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
     keys = cut(keys.select("bucket", "v", "size", F.coalesce("root", "v").alias("root")), "near-rooted")
     apart = keys.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")
@@ -392,19 +428,21 @@ def drop_near_copies(
     similarity: float = 0.8,
     id_col: str = "doc_id",
     text_col: str = "text",
+    radius: int = 4,
 ) -> DataFrame:
     """``docs`` with one row of each near-copy group, that of the smallest id, all columns kept.
 
     Rows are near copies when their sets of shingles (see :func:`near_groups`) have a Jaccard of
-    ``similarity`` or more; a group is what such pairs connect. Pairs are found by MinHash bands
-    and all verified by the sets, so nothing goes without a partner of that similarity. Equal sets
-    are one vertex, also those of texts without words. Rows are told apart by id and text: rows that
+    ``similarity`` or more; a group is what such pairs connect. Pairs are found by SimHash fingerprints
+    of the sets that differ in ``radius`` bits or fewer, with block keys and pivot distances, and
+    between the groups these leave by MinHash bands. All are verified by the sets, so nothing goes
+    without a partner of that similarity. Equal sets are one vertex, also those of texts without words. Rows are told apart by id and text: rows that
     share an id but are no near copies all stay, rows without an id come last in their group, and of
     repeated rows one stays. Columns may have any names.
     """
     rows = cut(shingle_rows(docs, shingle, id_col, text_col), "near-rows")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("_id"), F.col("_sha").alias("_sha"))
-    same = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]
+    same = [F.first(c).alias(c) for c in ("size", "fp", "bands", "sketch")]
     vertices = rows.groupBy("v").agg(*same, F.min(order).alias("least"))
     vertices = cut(vertices, "near-vertices")
     name = lambda id_, sha: F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("null")), sha)
@@ -415,7 +453,7 @@ def drop_near_copies(
         texts = docs.select(name(F.col(id_col).cast("long"), of_text).alias("_name"), F.col(text_col).alias("_text"))
         return one_of(texts.join(cut(names, "near-names").hint("merge"), "_name"), "_name").select("v", "_text")
 
-    links = set_links(vertices.select("v", "size", "bands", "sketch"), texts_of, shingle, similarity)
+    links = set_links(vertices.select("v", "size", "fp", "bands", "sketch"), texts_of, shingle, similarity, radius)
     roots = components(links, "binary")
     of = vertices.join(roots.hint("merge"), F.col("v") == F.col("node"), "left")
     keep = of.groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("least").alias("least"))

@@ -15,6 +15,7 @@ from kreiswerk.llm import class_lm, exact_dedup, mixing, packing, quality, secre
 from kreiswerk.llm.components import components
 from kreiswerk.llm.suffix_array import permuted_lcp, suffix_array
 from kreiswerk.llm.work import ship
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, length string, key string, n string, spans string, copies string, shard string"
@@ -559,6 +560,39 @@ def test_nothing_goes_without_a_partner_of_the_stated_similarity(spark, monkeypa
     assert 60 < len(kept) < len(ids)
 
 
+def test_near_copies_are_first_found_by_fingerprints(spark):
+    ship(spark)
+    rows = []
+    for i in range(20):  # twenty texts in three variants each
+        words = prose(9000 + i, 300).split()
+        rows += [(3 * i + k, " ".join(words[: 300 - k] + [f"w{j}" for j in range(k)])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vertices = simhash.shingle_rows(docs, 5, "doc_id", "text").cache()
+    v = {r.v: r._id for r in vertices.collect()}
+    ints = {r.v: int.from_bytes(r.fp, "big") for r in vertices.collect()}
+    within = {(a, b) for a in ints for b in ints if a < b and (ints[a] ^ ints[b]).bit_count() <= 4}
+    found = {(r.a, r.b) for r in simhash.print_pairs(vertices, 4, 0.8).collect()}
+    assert len(within) >= 20 and {v[a] // 3 == v[b] // 3 for a, b in found} == {True}
+    # The links connect what brute force connects.
+    reach = lambda pairs: {x: frozenset(closure(x, pairs)) for x in ints}
+    assert reach(found) == reach(within)
+    # Without any band in common the fingerprints' links remain, verified by the sets.
+    apart = vertices.withColumn("bands", F.array(F.xxhash64("v")))
+    texts_of = lambda wanted: wanted.join(vertices.select("v", "_id"), "v").join(
+        docs.withColumnRenamed("text", "_text"), F.col("_id") == F.col("doc_id")
+    ).select("v", "_text")
+    links = {(r.a, r.b) for r in simhash.set_links(apart, texts_of, 5, 0.8, 4).collect()}
+    assert links == found
+
+
+def closure(x, pairs):
+    seen, new = set(), {x}
+    while new:
+        seen |= new
+        new = {b for p in pairs for a, b in (p, p[::-1]) if a in new} - seen
+    return seen
+
+
 def test_near_copies_by_id_and_text(spark):
     ship(spark)
     copy = lambda t: " ".join([*t.split()[:-1], "end"])
