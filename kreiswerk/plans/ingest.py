@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import KEYWORD_TO_TAG
@@ -16,7 +16,7 @@ from ..functions.text import clean_description, clean_title
 from ..functions.times import dedupe_key, default_zone, instant, not_ended
 from ..functions.urls import event_id
 from ..operators.health import run_outcomes
-from ..operators.joins import lookup_join
+from ..operators.joins import fits_broadcast, key_counts, lookup_join, salted_join
 from ..operators.keywords import keyword_tags
 from ..operators.resolve import resolve_locations
 from ..operators.store import EventStore
@@ -58,8 +58,9 @@ def parse_all(name: str, parse: PageParser, pages: DataFrame) -> tuple[DataFrame
 class Landed:
     """What an adapter reads: its sources, their resolved fetches, robots rules and the run time.
 
-    ``sources`` says in ``allowed`` whether robots rules admit the address of the source. ``parse``
-    applies a named page parser to pages.
+    ``sources`` says in ``allowed`` whether robots rules admit the address of the source. ``fetches``
+    say in ``entries`` (adapter, allowed) which registry rows name their address. ``parse`` applies a
+    named page parser to pages.
     """
 
     sources: DataFrame
@@ -90,7 +91,7 @@ def page_adapter(parsers: Mapping[str, PageParser] = PAGE_PARSERS) -> Adapter:
     """Adapter for HTML sources: each page goes to the parser its source names."""
 
     def run(landed: Landed) -> tuple[DataFrame, DataFrame]:
-        pages, errors = _entry_pages(landed)
+        _, errors = _entry_pages(landed)
         unknown = landed.sources.filter(~F.coalesce(F.col("adapter").isin(*parsers), F.lit(False)))
         message = F.concat(F.lit("Pages of adapter '"), F.coalesce("adapter", F.lit("")), F.lit("' have no parser."))
         errors = errors.unionByName(
@@ -98,7 +99,9 @@ def page_adapter(parsers: Mapping[str, PageParser] = PAGE_PARSERS) -> Adapter:
         )
         rows = []
         for key, parse in parsers.items():
-            found, failed = landed.parse(key, parse, pages.filter(F.col("adapter") == key).drop("adapter"))
+            admitted = F.filter("entries", lambda e: e["allowed"])["adapter"]
+            own = landed.fetches.filter("outcome = 'ok'").filter(F.array_contains(admitted, key))
+            found, failed = landed.parse(key, parse, own.select("source_id", "url", "body"))
             rows.append(raw_events(found.filter(not_ended("start_utc", "end_utc", landed.now))))
             errors = errors.unionByName(_as_errors(failed, "parse"))
         return _union(rows), errors
@@ -147,15 +150,14 @@ ADAPTERS: dict[str, Adapter] = {"ics": calendar_adapter, "html": page_adapter(),
 
 def _entry_pages(landed: Landed) -> tuple[DataFrame, DataFrame]:
     """Bodies of the addresses the registry names, with errors for refused and failed ones."""
-    checked = landed.sources.select(F.col("id").alias("source_id"), "url", "adapter", "allowed")
-    refused = checked.filter("not allowed").select(
-        "source_id", F.lit("robots").alias("kind"), F.concat(F.lit("robots.txt disallows fetching "), "url").alias("error")
+    refused = landed.sources.filter("not allowed").select(
+        F.col("id").alias("source_id"), F.lit("robots").alias("kind"), F.concat(F.lit("robots.txt disallows fetching "), "url").alias("error")
     )
-    fetched = landed.fetches.join(checked.filter("allowed").drop("allowed"), ["source_id", "url"])
+    fetched = landed.fetches.select("*", F.explode("entries").alias("entry")).filter("entry.allowed")
     failed = fetched.filter("outcome <> 'ok'").select(
         "source_id", F.lit("fetch").alias("kind"), F.col("problem").alias("error")
     )
-    pages = fetched.filter("outcome = 'ok'").select("source_id", "url", "body", "adapter")
+    pages = fetched.filter("outcome = 'ok'").select("source_id", "url", "body")
     return pages, refused.unionByName(failed)
 
 
@@ -177,27 +179,49 @@ def collect_raw(
     now: datetime | str,
     adapters: Mapping[str, Adapter] = ADAPTERS,
     parse: Callable[[str, PageParser, DataFrame], tuple[DataFrame, DataFrame]] = parse_all,
+    counts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Raw events and errors of all enabled sources, each type through its adapter."""
+    """Raw events and errors of all enabled sources, each type through its adapter.
+
+    Sources are held against the robots rules once, and fetches against their sources once, both
+    written. ``counts`` (source_id, _rows) may hand in bounds on the fetches of each source.
+    """
     spark = registry.sparkSession
-    sources = enabled_sources(registry)
+    sources = write_through(mark_allowed(enabled_sources(registry), robots), "sources")
     unknown = sources.filter(~F.col("type").isin(*adapters)).select(
         F.col("id").alias("source_id"),
         F.lit("registry").alias("kind"),
         F.concat(F.lit("Sources of type '"), "type", F.lit("' have no adapter.")).alias("error"),
     )
     rows, errors = [spark.createDataFrame([], RAW_SCHEMA)], [unknown]
-    checked = mark_allowed(sources, robots)
-    types = sources.select(F.col("id").alias("source_id"), F.col("type").alias("source_type")).distinct()
-    typed = lookup_join(fetches, types, ["source_id"], "inner", spread_by=["url"])
+    typed = write_through(_with_sources(fetches, sources, counts), "fetches")
     for kind, adapter in adapters.items():
-        own = typed.filter(F.col("source_type") == kind).drop("source_type")
-        found, failed = adapter(Landed(checked.filter(F.col("type") == kind), own, robots, now, parse))
+        own = typed.withColumn("entries", _offers_of(kind)).filter(F.size("entries") > 0).drop("offers")
+        named = F.filter("entries", lambda o: o["url"] == F.col("url"))
+        own = own.withColumn("entries", F.transform(named, lambda o: F.struct(o["adapter"], o["allowed"])))
+        found, failed = adapter(Landed(sources.filter(F.col("type") == kind), own, robots, now, parse))
         rows.append(found)
         errors.append(failed)
     return _union(rows), _union(errors)
 
 
+def _offers_of(kind: str) -> Column:
+    return F.filter("offers", lambda o: o["type"] == kind)
+
+
+def _with_sources(fetches: DataFrame, sources: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """Fetches of the given sources with what the registry says of each: one row per address.
+
+    ``offers`` has as many entries as registry rows share an id, one in a valid registry.
+    """
+    rows = sources.select(F.col("id").alias("source_id"), "type", "url", "adapter", "allowed")
+    offer = F.struct("type", "url", "adapter", "allowed")
+    offers = rows.groupBy("source_id").agg(F.collect_list(offer).alias("offers"))
+    if fits_broadcast(rows):
+        return fetches.join(F.broadcast(offers), "source_id")
+    return salted_join(fetches, offers, ["source_id"], "inner", ["url"], counts=counts)
+
+
 # --- normalisation -------------------------------------------------------------------------
 
 
@@ -304,10 +328,13 @@ def ingest(
         return store.runs.of_pass(pass_id)
     stored = store.fetches.read()
     walked = registry.filter(F.col("type").isin(*WALKED_TYPES)).select(F.col("id").alias("source_id"))
-    landed = with_unlanded(newest_fetches(crawl), stored, walked)
-    fetches = write_through(carry_forward(landed, known_good(crawl, stored)), "fetches")
+    landed = newest_fetches(crawl)
+    if not walked.isEmpty():
+        landed = with_unlanded(landed, stored, walked)
+    fetches = carry_forward(landed, known_good(crawl, stored))
+    counts = key_counts(crawl.select("source_id").unionAll(stored.select("source_id")), ["source_id"])
     cache = ParseCache(store.parsed.read(), now)
-    found, failed = collect_raw(registry, fetches, robots, now, adapters, cache)
+    found, failed = collect_raw(registry, fetches, robots, now, adapters, cache, counts)
     raw, errors = write_through(found, "raw"), write_through(failed, "errors")
     if geocoder is not None and not (pass_id is not None and store.geocodes.holds(pass_id)):
         pending = write_through(pending_geocodes(raw, store.geocode_cache(), geocode_cap), "queries")

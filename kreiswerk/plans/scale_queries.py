@@ -129,7 +129,8 @@ def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
 
     Of several errors of a source the log has the smallest.
     """
-    registry, crawl = _sources(spark, sf), write_through(_landed(spark, sf), "crawl")
+    registry, crawl = write_through(_sources(spark, sf), "registry"), write_through(_landed(spark, sf), "crawl")
+    rules = write_through(_rules(spark, sf), "rules")
     unchanged = crawl.withColumns(
         {
             "http_status": F.when(F.col("http_status") == 200, 304).otherwise(F.col("http_status")),
@@ -138,11 +139,12 @@ def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
         }
     )
     kept = store.EventStore(spark, new_folder(spark, "store"), buckets=8)
-    keys, codes = place_keys(places(spark, sf)), postal_lookup(postal(spark, sf))
+    keys = write_through(place_keys(places(spark, sf)), "places")
+    codes = write_through(postal_lookup(postal(spark, sf)), "codes")
     first, second = datetime(2024, 1, 15), datetime(2024, 1, 16)
     passes = (crawl, first, "p1"), (unchanged, second, "p2"), (unchanged, second, "p2")
     for rows, when, name in passes:
-        ingest(kept, registry, rows, _rules(spark, sf), keys, codes, when, keyword_to_tag={}, adapters={"html": page_adapter()}, pass_id=name)
+        ingest(kept, registry, rows, rules, keys, codes, when, keyword_to_tag={}, adapters={"html": page_adapter()}, pass_id=name)
     log = kept.runs.read().groupBy("source_id").agg(
         F.count(F.lit(1)).alias("runs"), F.max("event_count").alias("event_count"), F.max_by("error", "run_utc").alias("error")
     )

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.joins import salted_join
-from .events import RAW_COLUMNS, RAW_SCHEMA
+from ..operators.joins import lookup_join, salted_join
+from ..session import write_through
+from .events import RAW_COLUMNS, RAW_FIELDS
 
 CRAWL_SCHEMA = (
     "source_id string, url string, http_status int, error string, body string, etag string, "
@@ -22,7 +23,7 @@ CRAWL_SCHEMA = (
 # is remembered, too.
 PARSED_SCHEMA = (
     "parser string, source_id string, page_url string, content_hash string, "
-    f"rows array<struct<{RAW_SCHEMA.replace(' ', ': ').replace(',:', ',')}>>, error string, used_utc timestamp"
+    f"rows array<struct<{RAW_FIELDS}>>, error string, used_utc timestamp"
 )
 PARSED_KEY = ["parser", "source_id", "page_url", "content_hash"]
 _KEY = ["source_id", "url"]
@@ -46,13 +47,19 @@ def last_good(crawl: DataFrame) -> DataFrame:
 
 
 def known_good(crawl: DataFrame, stored: DataFrame) -> DataFrame:
-    """Newest good body per address, of the store and of all rows of a batch.
+    """Newest good body per address, of the store and of those rows of a batch that it calls unchanged, too.
 
-    A batch may hold a 200 and a later 304 of one address; the 304 means the body of the 200.
+    ``stored`` has one row per address. A batch may hold a 200 and a later 304 of one address; the 304 means the body of the 200. Other
+    bodies of the batch are nobody's cached ones and stay where they are.
     """
-    rows = last_good(crawl).unionByName(stored.select(*_KEY, *_CACHED))
+    unchanged = crawl.filter("http_status = 304").select(*_KEY).distinct()
+    good = lookup_join(crawl.filter(succeeded()), unchanged, _KEY, "left_semi", spread_by=["fetched_at"])
+    recent = write_through(good.select(*_KEY, *_CACHED), "recent")
+    keys, stored = recent.select(*_KEY).distinct(), stored.select(*_KEY, *_CACHED)
+    alone = lookup_join(stored, keys, _KEY, "left_anti", spread_by=["fetched_at"])
+    both = recent.unionByName(lookup_join(stored, keys, _KEY, "left_semi", spread_by=["fetched_at"]))
     newest = F.max_by(F.struct(*_CACHED), F.struct("fetched_at", F.xxhash64("body")))
-    return rows.groupBy(*_KEY).agg(newest.alias("c")).select(*_KEY, "c.*")
+    return alone.unionByName(both.groupBy(*_KEY).agg(newest.alias("c")).select(*_KEY, "c.*"))
 
 
 def with_unlanded(crawl: DataFrame, stored: DataFrame, sources: DataFrame) -> DataFrame:
@@ -61,8 +68,11 @@ def with_unlanded(crawl: DataFrame, stored: DataFrame, sources: DataFrame) -> Da
     They count as unchanged, so a walk over several pages of a source finds the pages that landed in
     an earlier batch.
     """
-    here = crawl.join(sources.select("source_id").distinct(), "source_id", "left_semi").select("source_id").distinct()
-    missing = stored.join(here, "source_id", "left_semi").join(crawl.select(*_KEY), _KEY, "left_anti")
+    walked = sources.select("source_id").distinct()
+    here = lookup_join(crawl.select("source_id", "url"), walked, ["source_id"], "left_semi", spread_by=["url"])
+    here = here.select("source_id").distinct()
+    missing = lookup_join(stored, here, ["source_id"], "left_semi", spread_by=["url"])
+    missing = missing.join(crawl.select(*_KEY), _KEY, "left_anti")
     unchanged = {"http_status": F.lit(304), "error": F.lit(None).cast("string"), "body": F.lit(None).cast("string")}
     return crawl.unionByName(missing.withColumns(unchanged).select(crawl.columns))
 
@@ -109,9 +119,13 @@ def parse_pages(
 
     Only bodies that ``parsed`` does not hold for this parser reach ``extract``, which returns events
     that carry ``page_url`` and errors (source_id, url, error). The bodies of known pages end at the
-    hash, so an unchanged page costs one digest.
+    hash, so an unchanged page costs one digest. A parser with ``page_rows`` (pages with a body to pages
+    with ``rows`` and ``error``) is run once per page, and its pages meet the known ones in one join;
+    ``pages`` then has one row per address.
     """
     identity = PARSED_KEY[1:]
+    if hasattr(extract, "page_rows"):
+        return _parsed_rows(pages, parsed, parser, extract.page_rows, now)
     hashed = pages.withColumn("content_hash", content_hash()).withColumn("page_url", F.col("url"))
     known = parsed.filter(F.col("parser") == parser).select(*identity, "rows", "error")
     used = {"parser": F.lit(parser), "used_utc": now}
@@ -127,6 +141,20 @@ def parse_pages(
     return unchanged.unionByName(new).withColumns(used).select(*columns)
 
 
+def _parsed_rows(
+    pages: DataFrame, parsed: DataFrame, parser: str, page_rows: Callable[[DataFrame], DataFrame], now: Column
+) -> DataFrame:
+    identity = PARSED_KEY[1:]
+    known = parsed.filter(F.col("parser") == parser).select(*identity, F.struct("rows", "error").alias("known"))
+    hashed = pages.select("source_id", F.col("url").alias("page_url"), content_hash().alias("content_hash"), "body")
+    met = hashed.join(known.hint("merge"), identity, "left")
+    body = F.when(F.col("known").isNull(), F.col("body"))
+    read = page_rows(met.select(*identity, "known", F.col("page_url").alias("url"), body.alias("body")))
+    kept = lambda name: F.when(F.col("known").isNull(), F.col(name)).otherwise(F.col("known")[name]).alias(name)
+    used = {"parser": F.lit(parser), "used_utc": now}
+    return read.select(*identity, kept("rows"), kept("error")).withColumns(used).select(*[f.name for f in parsed.schema])
+
+
 def parsed_events(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events and errors (source_id, url, error) of parsed pages."""
     rows = parsed.select(F.explode("rows").alias("row"), "page_url").select("row.*", "page_url")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host, url_path
-from ..operators.joins import lookup_join
+from ..operators.joins import fits_broadcast, lookup_join
+from ..session import write_through
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -81,19 +82,21 @@ def mark_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     may start the path; a host without rules allows everything. Each distinct path gives its
     beginnings, of the lengths that prefixes of its host have, and these meet the prefixes in an equi
     join: the work does not grow with the rules of a host, and no list of them is gathered. A host
-    with a third of all addresses is split.
+    with a third of all addresses is split. Prefixes few enough to be broadcast meet the addresses where
+    they lie, and only refused paths move.
     """
     prefixes = rules if "prefix" in rules.columns else rules.select("host", F.explode("disallow").alias("prefix"))
     prefixes = prefixes.select("host", "prefix").distinct()
     # No more lengths than the longest prefix has characters.
     lengths = prefixes.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     parts = urls.withColumns({"host": url_host("url"), "_path": url_path("url")})
-    paths = lookup_join(parts.select("host", "_path").distinct(), lengths, ["host"], "inner", spread_by=["_path"])
+    paths = parts.select("host", "_path")
+    paths = lookup_join(paths if fits_broadcast(prefixes) else paths.distinct(), lengths, ["host"], "inner", spread_by=["_path"])
     fitting = F.filter("lengths", lambda n: n <= F.length("_path"))
     starts = paths.select("host", "_path", F.explode(fitting).alias("n"))
     starts = starts.select("host", "_path", F.left("_path", F.col("n")).alias("prefix"))
     refused = lookup_join(starts, prefixes, ["host", "prefix"], "left_semi", spread_by=["_path"])
-    refused = refused.select("host", "_path").distinct().withColumn("_refused", F.lit(True))
+    refused = write_through(refused.select("host", "_path").distinct().withColumn("_refused", F.lit(True)), "refused")
     marked = lookup_join(parts, refused, ["host", "_path"], "left", spread_by=["url"])
     return marked.withColumn("allowed", F.col("_refused").isNull()).drop("host", "_path", "_refused")
 

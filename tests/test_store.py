@@ -320,3 +320,29 @@ def test_pass_parses_unseen_pages_only(spark, tmp_path, light):
     assert [run(late, broken).error for _ in "ab"] == ["no __NEXT_DATA__ script found"] * 2 and seen[-2:] == [1, 0]
     run(far, state_page("C", "2026-07-01T18:00:00Z"))
     assert target.parsed.read().count() == 1  # what no pass met for long is gone
+
+
+def test_unchanged_pages_meet_the_newer_of_store_and_batch(spark):
+    row = lambda url, status, body, day: ("s", url, status, None, body, None, None, datetime(2026, 1, day))
+    rows = [row("a", 200, "a-batch", 5), row("a", 304, None, 6), row("b", 200, "b-batch", 5), row("b", 304, None, 6), row("c", 304, None, 6), row("d", 200, "d-batch", 5)]
+    batch = spark.createDataFrame(rows, crawl.CRAWL_SCHEMA)
+    stored = spark.createDataFrame([row("a", 200, "a-store", 1), row("b", 200, "b-store", 7), row("c", 200, "c-store", 1)], crawl.CRAWL_SCHEMA)
+    known = {r.url: r.body for r in crawl.known_good(batch, stored).collect()}
+    assert known == {"a": "a-batch", "b": "b-store", "c": "c-store"}  # d is called unchanged by no one: it is no cached body
+
+
+def test_state_pages_are_parsed_once(spark, tmp_path, light, monkeypatch):
+    """Pages go through the parser's form of one row per page, known and new ones in one step."""
+    registry, rules, keys, postal = light
+    seen, whole = [], plan.extract_state_events.page_rows
+
+    def counting(pages):
+        seen.append(pages.filter("body is not null").count())
+        return whole(pages)
+
+    monkeypatch.setattr(plan.extract_state_events, "page_rows", counting)
+    target = store.EventStore(spark, str(tmp_path), buckets=2)
+    run = lambda when, body: plan.ingest(target, registry, page_of(spark, when, body), rules, keys, postal, when, adapters={"html": plan.page_adapter()}).first()
+    page = state_page("A", "2026-02-01T18:00:00Z")
+    assert [run(T1, page).event_count, run(T2, 304).event_count, run(T3, page).event_count] == [1, 1, 1]
+    assert seen == [1, 0, 0] and target.parsed.read().count() == 1
