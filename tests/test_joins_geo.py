@@ -204,3 +204,69 @@ def test_side_of_one_block_is_not_repeated(spark, tmp_path, monkeypatch):
     left, right = (spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias(name)) for n, name in ((1000, "a"), (5, "b")))
     assert joins.balanced_join(left, right, ["k"], ["a"], ["b"], pairs_per_task=2500, block_rows=10).count() == 5000
     assert [(r._lb, r._rb) for r in heavy] == [(2, 1)]
+
+
+def test_radius_join_writes_no_pairs(spark, monkeypatch):
+    """200 searches meet 200 positions, all different: what is written follows the two tables, not the 40 000 pairs."""
+    written = []
+    for module in (joins, radius_join):
+        monkeypatch.setattr(module, "write_through", lambda df, label: written.append(write_through(df, label)) or written[-1])
+    rows = events(spark, [(50.0 + i / 1000, 10.0) for i in range(200)])
+    table = spark.createDataFrame([(i, 50.0, 10.0 + i / 1000, 100.0) for i in range(200)], "search_id int, lat double, lon double, radius_km double")
+    assert radius_join.radius_join(rows, table).count() == 40_000
+    assert sum(t.count() for t in written) < 1000
+
+
+def test_cut_cells_with_filters_keep_all_pairs(spark, monkeypatch):
+    """Blocks and rows of a few entries; equal searches, repeated and null ids, filters of every kind."""
+    for name, few in {"SEARCHES_PER_ROW": 3, "EVENTS_PER_ROW": 2, "SEARCHES_PER_TASK": 8, "POINTS_PER_CELL": 4, "PAIRS_PER_TASK": 25}.items():
+        monkeypatch.setattr(radius_join, name, few)
+    rng = random.Random(3)
+    points = [(50.0, 10.0)] * 25 + [(rng.uniform(49.5, 50.5), rng.uniform(9.5, 10.5)) for _ in range(60)]
+    n = F.col("id").try_cast("int")
+    rows = events(spark, points).withColumns({"attendance": F.when(n % 3 > 0, "Online"), "tags": F.array(F.concat(F.lit("t"), n % 2)), "title": F.concat(F.lit("Größe "), n % 5)})
+    rows = rows.unionByName(rows.filter(n % 10 == 0)).unionByName(rows.filter(n < 4).withColumn("id", F.lit(None).cast("string")))
+    rows = rows.unionByName(rows.filter(n == 5).withColumn("location_status", F.lit("Unresolved"))).unionByName(rows.filter(n == 6).withColumn("lat", F.lit(None).cast("double")))
+    day = lambda d: datetime(2026, 1, d)
+    filters = [(None,) * 5, (day(5), None, None, None, None), (None, day(9), None, "online", None), (None, None, ["t1", "x"], " ", None), (day(2), day(20), [], None, "GROESSE 1")]
+    asked = [(i % 30 if i % 7 else None, 50.0, 10.0 + i % 4 / 10, (0.5, 8.0, 30.0)[i % 3], *filters[i % 5]) for i in range(60)]
+    schema = "search_id int, lat double, lon double, radius_km double, start_from timestamp, start_to timestamp, tags array<string>, attendance string, text string"
+    got = radius_join.radius_join(rows, spark.createDataFrame(asked, schema), digits=3)
+    assert got.columns == [*rows.columns, "search_id", "distance_km"]
+    want = []
+    for search_id, lat, lon, radius, start, end, tags, attendance, text in asked:
+        box = geo.bounding_box(lat, lon, radius)
+        for e in rows.filter("location_status = 'Resolved' and lat is not null").collect():
+            d = distance(lat, lon, e.lat, e.lon)
+            inside = d <= radius and box.min_lat <= e.lat <= box.max_lat and box.min_lon <= e.lon <= box.max_lon
+            dated = (not start or e.start_utc >= start) and (not end or e.start_utc <= end)
+            kind = attendance in (None, " ") or (e.attendance or "").lower() == attendance
+            if inside and dated and kind and (not tags or set(tags) & set(e.tags)) and (not text or "Größe 1" in e.title):
+                want.append((*e, search_id, round(d, 3)))
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_blocks_of_cells_share_the_pairs(spark, monkeypatch):
+    """A cell with nearly all searches and events is cut on both sides; no task holds too many searches; small cells stay whole."""
+    monkeypatch.setattr(radius_join, "PAIRS_PER_TASK", 10)
+    monkeypatch.setattr(radius_join, "SEARCHES_PER_ROW", 1)
+    monkeypatch.setattr(radius_join, "EVENTS_PER_ROW", 1)
+    cell = lambda df, n: df.select(F.lit(1).alias("level"), F.when(F.col("id") < n, 0).otherwise(1).cast("long").alias("cell_y"), F.lit(0).cast("long").alias("cell_x"), F.lit(1).alias("_rows"))
+    searches, points = cell(spark.range(402), 400).drop("_rows"), cell(spark.range(103), 100)
+    assert [(r.cell_y, r._sb, r._eb) for r in radius_join._layout(searches, points).collect()] == [(0, 2, 2)]
+    monkeypatch.setattr(radius_join, "SEARCHES_PER_TASK", 50)
+    assert [(r.cell_y, r._sb, r._eb) for r in radius_join._layout(searches, points).collect()] == [(0, 8, 1)]
+
+
+@pytest.mark.parametrize(("crowd", "level"), [(5, 0), (6, 9)])
+def test_cells_follow_the_positions(spark, monkeypatch, crowd, level):
+    monkeypatch.setattr(radius_join, "POINTS_PER_CELL", 5)
+    points = spark.createDataFrame([(50.0 + i / 10_000, 10.0) for i in range(crowd)], "lat double, lon double")
+    assert radius_join._deepest(points) == level
+    assert radius_join._deepest(points.limit(0)) == 0
+
+
+def test_keys_are_cut_into_pieces(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") < 90, F.lit(None)).otherwise("k").alias("k"))
+    cut = joins.in_pieces(rows, ["k"], ["id"], 30)
+    assert cut.count() == 100 and {(r.k, r._piece) for r in cut.collect()} == {(None, 0), (None, 1), (None, 2), ("k", 0)}
